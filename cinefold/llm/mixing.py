@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from cinefold.llm.common import cut, n_words
 
-#: A document's place in its source: the first 60 bits of an MD5, dealt in levels of 15 bits.
-HASH_BITS, LEVEL_BITS = 60, 15
+#: A document's place in its source: the first 60 bits of an MD5, dealt in levels of 12 bits.
+HASH_BITS, LEVEL_BITS = 60, 12
 
 
 def place(ident: Column, text: Column) -> Column:

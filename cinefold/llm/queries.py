@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import blockmax, mixing, urlfilter, vptree
+from cinefold.llm import blockmax, mixing, packing, tokencount, urlfilter, vptree
 from cinefold.llm.common import table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest rows for every hundredth vector, through the tree of every shard."""
     rows = table(spark, sf_dir, "embeddings")
@@ -26,15 +31,22 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), narrow=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_vptree_ann": op4_vptree_ann,
     "op5_blockmax_topk": op5_blockmax_topk,
     "op6_mix_sources": op6_mix_sources,
+    "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
 }
 

@@ -124,7 +124,7 @@ def build(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding",
     return rows.groupBy("dim", "shard").applyInPandas(plant, "dim int, shard int, tree binary"), shards
 
 
-def search(index: tuple[DataFrame, int], queries: DataFrame, k: int = 10, factor: float = 0.9, ident: str = "vec_id", vector: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
+def search(index: tuple[DataFrame, int], queries: DataFrame, k: int = 10, factor: float = 0.5, ident: str = "vec_id", vector: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, by Euclidean distance.
 
     Blocks of at most about ``block`` queries meet every shard's tree; each keeps k rows a query, and a window over
