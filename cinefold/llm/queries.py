@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import blockmax, mixing, packing, tokencount, urlfilter, vptree
+from cinefold.llm import blockmax, mixing, packing, simhash, tokencount, urlfilter, vptree
 from cinefold.llm.common import table
 
 
+def op1_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document's pieces in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,6 +48,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_near_dups": op1_simhash_near_dups,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_vptree_ann": op4_vptree_ann,
     "op5_blockmax_topk": op5_blockmax_topk,
