@@ -15,15 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The rows, written to the session's checkpoint folder and cut off from their lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is made only where none is set (tests).
-    """
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder is made only where none is set, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cinefold-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cinefold-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The rows, written to the session's checkpoint folder and cut off from their lineage."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import blockmax, mixing, packing, simhash, tokencount, urlfilter, vptree
+from cinefold.llm import blockmax, htmltext, mixing, packing, pii, quality, simhash, tokencount, urlfilter, vptree
 from cinefold.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op1_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document's pieces in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,14 +53,28 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES = {
     "op1_simhash_near_dups": op1_simhash_near_dups,
+    "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_vptree_ann": op4_vptree_ann,
     "op5_blockmax_topk": op5_blockmax_topk,
     "op6_mix_sources": op6_mix_sources,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
+    "op9_main_text": op9_main_text,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
