@@ -1,10 +1,133 @@
-"""Distances between frames, in bounded blocks of packed rows."""
+"""Distances between frames: blocks of rows meet two by two, and each pair of blocks is one bounded unit of work."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows in a block; a unit compares the rows of two.
+BLOCK = 512
+_CHUNK = 64
 
-def nearest(left: DataFrame, right: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    raise NotImplementedError
+
+def _blocked(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (frame, pixels, a, b), every row once for each block of the other side."""
+    n, m = (max(1, -(-side.count() // block)) for side in (left, right))
+    number = lambda k: F.pmod(F.xxhash64("frame"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # Aliases give the two sides columns of their own: a frame may meet itself, and shared ones would be pruned.
+    rows = lambda side: side.select(F.col("frame").alias("frame"), F.col("pixels").cast("array<double>").alias("pixels"))
+    return rows(left).withColumn("a", number(n)).withColumn("b", each(m)), rows(right).withColumn("b", number(m)).withColumn("a", each(n))
+
+
+def _chunks(left: pd.DataFrame, right: pd.DataFrame):
+    """(rows of the left side, their squared distances to all of the right), a few rows at a time."""
+    y = np.array(right["pixels"].tolist())
+    ids = left["frame"].to_numpy()
+    x = np.array(left["pixels"].tolist())
+    for k in range(0, len(x), _CHUNK):
+        yield ids[k : k + _CHUNK], ((x[k : k + _CHUNK, None] - y[None]) ** 2).sum(axis=2)
+
+
+def squared(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, d2) of every pair of (frame, pixels) rows: the matrix itself, so its rows are the product of the sides."""
+
+    def unit(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": [], "j": [], "d2": []}).astype({"i": "int64", "j": "int64", "d2": "float64"})
+        j = b["frame"].to_numpy()
+        parts = [(np.repeat(i, len(j)), np.tile(j, len(i)), d.ravel()) for i, d in _chunks(a, b)]
+        return pd.DataFrame(dict(zip(("i", "j", "d2"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+
+    x, y = _blocked(left, right, block)
+    return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(unit, "i long, j long, d2 double")
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """(frame, neighbour, rank, d2): the k nearest right rows of every left row, ties to the smaller frame.
+
+    Each unit keeps k rows a frame, so what is shuffled grows with the blocks and not with the pairs.
+    """
+
+    def unit(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(a) and len(b):
+            j = b["frame"].to_numpy()
+            for i, d in _chunks(a, b):
+                if skip_self:
+                    d = np.where(i[:, None] == j[None], np.inf, d)
+                first = np.lexsort((np.broadcast_to(j, d.shape), d))[:, :k]
+                parts.append((np.repeat(i, first.shape[1]), j[first].ravel(), np.take_along_axis(d, first, 1).ravel()))
+        i, j, d = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
+        out = pd.DataFrame({"frame": i, "neighbour": j, "d2": d}).astype({"frame": "int64", "neighbour": "int64", "d2": "float64"})
+        return out[out["d2"] < np.inf]
+
+    x, y = _blocked(left, right, block)
+    found = x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(unit, "frame long, neighbour long, d2 double")
+    rank = F.row_number().over(W.partitionBy("frame").orderBy("d2", "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("frame", "neighbour", "rank", "d2")
+
+
+def mutual(matches: DataFrame) -> DataFrame:
+    """(frame, neighbour) pairs that choose each other; pairs with frame 0 count too."""
+    back = matches.select(F.col("neighbour").alias("frame"), F.col("frame").alias("neighbour"))
+    return matches.select("frame", "neighbour").join(back, ["frame", "neighbour"])
+
+
+def ratio_match(two: DataFrame, ratio: float = 0.6, compat: bool = False) -> DataFrame:
+    """(frame, match, angle) from each frame's two nearest by angle: the best if it is under ``ratio`` of the second.
+
+    Angles are acos(.9999 * dot) for unit vectors, so dot follows from the squared distance. Without a match, null; with
+    ``compat``, 0 (which also stands for a match with frame 0).
+    """
+    angle = F.acos(0.9999 * (1 - F.col("d2") / 2))
+    best = two.groupBy("frame").agg(
+        F.min_by("neighbour", "rank").alias("best"), F.min(F.when(F.col("rank") == 1, angle)).alias("angle"), F.min(F.when(F.col("rank") == 2, angle)).alias("second"))
+    match = F.when(F.col("angle") < ratio * F.col("second"), F.col("best"))
+    return best.select("frame", (F.coalesce(match, F.lit(0)) if compat else match).alias("match"), "angle")
+
+
+def inverse_distance(near: DataFrame, values: DataFrame) -> DataFrame:
+    """(frame, value): the mean of the neighbours' values with weights 1 / d**6; an exact hit gives its own value."""
+    weight = 1 / F.pow("d2", F.lit(3))
+    joined = near.join(values.select(F.col("frame").alias("neighbour"), "value"), "neighbour")
+    return joined.groupBy("frame").agg(
+        F.coalesce(F.avg(F.when(F.col("d2") == 0, F.col("value"))), F.sum(F.when(F.col("d2") > 0, weight * F.col("value"))) / F.sum(F.when(F.col("d2") > 0, weight))).alias("value"))
+
+
+def last_within(pairs: DataFrame, threshold: float, frames: DataFrame) -> DataFrame:
+    """(frame, pick): the last other frame nearer than the threshold, or -1."""
+    close = pairs.where((F.col("i") != F.col("j")) & (F.sqrt("d2") < threshold)).groupBy(F.col("i").alias("frame")).agg(F.max("j").alias("pick"))
+    return frames.select("frame").join(close, "frame", "left").select("frame", F.coalesce("pick", F.lit(-1)).alias("pick"))
+
+
+def overlap_normalised(members: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, distance) of sets that share a member: |value difference| over 2 shared / (|a| + |b| + .01) + .01.
+
+    ``members`` are (set, member) rows and ``values`` (set, value). Pairs come from an equi-join on members, so sets
+    that share nothing are never compared.
+    """
+    own = members.select("set", "member").distinct()
+    sizes = own.groupBy("set").agg(F.count("*").alias("n"))
+    facts = sizes.join(values, "set")
+    side = lambda p: own.select(F.col("set").alias(p), "member")
+    shared = side("a").join(side("b"), "member").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    of = lambda p: facts.select(F.col("set").alias(p), F.col("n").alias(f"n_{p}"), F.col("value").alias(f"value_{p}"))
+    overlap = 2 * F.col("both") / (F.col("n_a") + F.col("n_b") + 0.01) + 0.01
+    return shared.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.abs(F.col("value_a") - F.col("value_b")) / overlap).alias("distance"))
+
+
+def shifted(a: DataFrame, b: DataFrame, shift: int, distance: Column) -> DataFrame:
+    """Rows of a at t + shift against rows of b at t, both (key, t, ...): an equi-join on the shifted time."""
+    moved = a.withColumn("t", F.col("t") - shift)
+    return moved.alias("a").join(b.alias("b"), ["key", "t"]).select("key", "t", distance.alias("distance"))
+
+
+def early_out(distances: DataFrame) -> DataFrame:
+    """(key, t, distance) with every distance after a key's first zero set to 0."""
+    before = W.partitionBy("key").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    stopped = F.max((F.col("distance") == 0).cast("int")).over(before)
+    return distances.withColumn("distance", F.when(stopped == 1, 0.0).otherwise(F.col("distance")))
