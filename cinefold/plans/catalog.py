@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cinefold.plans import pairwise
+from cinefold.plans import arrays, pairwise, sequences
 
-QUERIES = {**pairwise.QUERIES}
-ORACLE_SQL = {**pairwise.ORACLE_SQL}
+_MODULES = (pairwise, sequences, arrays)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
