@@ -23,27 +23,44 @@ def _blocked(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame,
     return rows(left).withColumn("a", number(n)).withColumn("b", each(m)), rows(right).withColumn("b", number(m)).withColumn("a", each(n))
 
 
-def _chunks(left: pd.DataFrame, right: pd.DataFrame):
-    """(rows of the left side, their squared distances to all of the right), a few rows at a time."""
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x[:, None] - y[None]) ** 2).sum(axis=2)
+
+
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x @ y.T
+
+
+def _chunks(left: pd.DataFrame, right: pd.DataFrame, measure=_gaps):
+    """(rows of the left side, their measure against all of the right), a few rows at a time."""
     y = np.array(right["pixels"].tolist())
     ids = left["frame"].to_numpy()
     x = np.array(left["pixels"].tolist())
     for k in range(0, len(x), _CHUNK):
-        yield ids[k : k + _CHUNK], ((x[k : k + _CHUNK, None] - y[None]) ** 2).sum(axis=2)
+        yield ids[k : k + _CHUNK], measure(x[k : k + _CHUNK], y)
 
 
 def squared(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, j, d2) of every pair of (frame, pixels) rows: the matrix itself, so its rows are the product of the sides."""
+    return _matrix(left, right, block, _gaps, "d2")
+
+
+def products(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, value): inner products of every pair of (frame, pixels) rows."""
+    return _matrix(left, right, block, _products, "value")
+
+
+def _matrix(left: DataFrame, right: DataFrame, block: int, measure, name: str) -> DataFrame:
 
     def unit(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "d2": []}).astype({"i": "int64", "j": "int64", "d2": "float64"})
+            return pd.DataFrame({"i": [], "j": [], name: []}).astype({"i": "int64", "j": "int64", name: "float64"})
         j = b["frame"].to_numpy()
-        parts = [(np.repeat(i, len(j)), np.tile(j, len(i)), d.ravel()) for i, d in _chunks(a, b)]
-        return pd.DataFrame(dict(zip(("i", "j", "d2"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+        parts = [(np.repeat(i, len(j)), np.tile(j, len(i)), d.ravel()) for i, d in _chunks(a, b, measure)]
+        return pd.DataFrame(dict(zip(("i", "j", name), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
 
     x, y = _blocked(left, right, block)
-    return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(unit, "i long, j long, d2 double")
+    return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(unit, f"i long, j long, {name} double")
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, skip_self: bool = False, block: int = BLOCK) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cinefold.plans import arrays, pairwise, sequences
+from cinefold.plans import arrays, costs, pairwise, sequences
 
-_MODULES = (pairwise, sequences, arrays)
+_MODULES = (pairwise, sequences, arrays, costs)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

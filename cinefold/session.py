@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,14 @@ def local_session(cores: int | None = None, partitions: int = 8) -> SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixture tables, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The rows, written to the cluster's checkpoint folder and cut off from their lineage.
+
+    A temporary folder is made only where the session names none in ``spark.checkpoint.dir`` (tests).
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cinefold-checkpoint-"))
+    return frame.checkpoint()
