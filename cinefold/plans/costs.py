@@ -84,7 +84,7 @@ def geodesic_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compat_labelprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = frame_softmax(spark, sf_dir)
     of = lambda c: weights.where(F.col("class") == c).select("frame", F.col("weight").alias("value"))
-    return _round(cost.outer(of(0), of(1)))
+    return _round(cost.outer(of(0), of(1)), 8)
 
 
 def compat_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,8 @@ _D = f"{PAIRS}, d AS (SELECT i, j, sqrt(d2) AS value FROM p), n AS (SELECT count
 _SOFT = """
     e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
     m AS (SELECT label, k, avg(x) AS m FROM e GROUP BY label, k),
-    c AS (SELECT e.vec_id AS frame, m.label::BIGINT AS class, round(sum((x - m) * (x - m)), 6) AS d2 FROM e JOIN m ON e.k = m.k GROUP BY e.vec_id, m.label),
-    w AS (SELECT frame, class, round(exp(-d2 / 0.2::DOUBLE) / sum(exp(-d2 / 0.2::DOUBLE)) OVER (PARTITION BY frame), 5) AS weight FROM c)"""
+    c AS MATERIALIZED (SELECT e.vec_id AS frame, m.label::BIGINT AS class, round(sum((x - m) * (x - m)), 6) AS d2 FROM e JOIN m ON e.k = m.k GROUP BY e.vec_id, m.label),
+    w AS MATERIALIZED (SELECT frame, class, round(exp(-d2 / 0.2::DOUBLE) / sum(exp(-d2 / 0.2::DOUBLE)) OVER (PARTITION BY frame), 5) AS weight FROM c)"""
 
 
 def _best(moves: str) -> str:
@@ -164,7 +164,7 @@ ORACLE_SQL = {
         s2 AS (SELECT k, min(v) AS v FROM (SELECT j AS k, v + w AS v FROM e JOIN s1 ON e.i = s1.k UNION ALL SELECT k, v FROM s1) GROUP BY k),
         s3 AS (SELECT k, min(v) AS v FROM (SELECT j AS k, v + w AS v FROM e JOIN s2 ON e.i = s2.k UNION ALL SELECT k, v FROM s2) GROUP BY k)
         SELECT k AS "at", round(v, 5) AS value FROM s3""",
-    "compat_labelprob": f"WITH {_SOFT} SELECT a.frame AS i, b.frame AS j, round(a.weight * b.weight * 100, 5) AS value FROM w a, w b WHERE a.class = 0 AND b.class = 1",
+    "compat_labelprob": f"WITH {_SOFT} SELECT a.frame AS i, b.frame AS j, round(a.weight * b.weight * 100, 8) AS value FROM w a, w b WHERE a.class = 0 AND b.class = 1",
     "compat_kernel": f"""
         WITH {_D}, g AS (SELECT round(median(value), 6) AS s FROM d)
         SELECT a.j AS i, b.j, round(exp(-a.value / (2 * s * s)) * exp(-b.value / (2 * s * s)), 5) AS value FROM d a, d b, g WHERE a.i = 0 AND b.i = 7""",
