@@ -50,7 +50,7 @@ def obj_mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     tagged = lines(spark, path).select("file", "line", parts[0].alias("tag"), F.slice(parts, 2, 64).alias("rest"))
     order = lambda: F.row_number().over(W.partitionBy("file").orderBy("line"))
     out = {tag: tagged.where(F.col("tag") == tag).select("file", order().alias("n"), F.transform("rest", lambda x: x.try_cast("double")).alias("values")) for tag in ("v", "vt", "vn")}
-    faces = tagged.where("tag = 'f'").select("file", order().alias("face"), F.posexplode("rest").alias("corner", "token"))
+    faces = tagged.where("tag = 'f'").select("file", order().alias("face"), "rest").select("file", "face", F.posexplode("rest").alias("corner", "token"))
     index = lambda k: F.get(F.split("token", "/"), F.lit(k)).try_cast("int")
     out["f"] = faces.select("file", "face", (F.col("corner") + 1).alias("corner"), index(0).alias("v"), index(1).alias("vt"), index(2).alias("vn"))
     return out
@@ -74,7 +74,8 @@ def text_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(file, i, j, value) of white-space or comma separated numbers."""
     rows = lines(spark, path)
     i = F.row_number().over(W.partitionBy("file").orderBy("line")) - 1
-    return rows.select("file", i.alias("i"), F.posexplode(F.split(F.trim("text"), r"[\s,]+")).alias("j", "cell")).select("file", "i", "j", F.col("cell").try_cast("double").alias("value"))
+    cells = rows.select("file", i.alias("i"), "text").select("file", "i", F.posexplode(F.split(F.trim("text"), r"[\s,]+")).alias("j", "cell"))
+    return cells.select("file", "i", "j", F.col("cell").try_cast("double").alias("value"))
 
 
 def session_log(spark: SparkSession, path: str) -> DataFrame:
