@@ -29,6 +29,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand at most so many rows at a time to Python, which bounds its memory by the texts of one batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinefold.llm.common import small_batches
+
 #: Elements by their part in a page.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -202,6 +204,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     are handled alike; columns named text and n_chars are replaced; an empty table gives no rows.
     """
 
+    small_batches(pages.sparkSession)
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinefold.llm.common import cut
+from cinefold.llm.common import cut, small_batches
 
 #: Byte classes whose shares of a text are statistics.
 _CLASSES = {
@@ -59,6 +59,7 @@ def statistics(text: str) -> list[float]:
 def measured(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, x) of every row, x as an array of the statistics."""
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf("array<double>")
     def x(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

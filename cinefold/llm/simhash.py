@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinefold.llm.common import cut
+from cinefold.llm.common import cut, small_batches
 from cinefold.llm.components import connected_components
 
 #: Differing bits at which fingerprints still link, words of a shingle, seed of the hash.
@@ -19,7 +19,7 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Most fingerprints in a shard's tree; a bucket with more is split into shards that meet two by two.
 SHARD = 4096
 #: Pairs of a fingerprint and a tree node that are looked at in one go.
-FRONTIER = 1 << 21
+FRONTIER = 1 << 18
 #: Shingles of a text whose bits are unpacked at a time.
 AT_ONCE = 1 << 16
 
@@ -48,6 +48,7 @@ def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, ident: str, text: str, words: int, seed: int) -> DataFrame:
     """(id, fp) of every row, fp as a signed long."""
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinefold.llm.common import small_batches
 from cinefold.llm.tokens import Counter
 
 #: Characters of a chunk and of the overlap of two, of texts that one chunk doesn't hold.
@@ -31,6 +32,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     alike; columns named as the three added ones are replaced; an empty table gives no rows.
     """
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = _counter(tokenizer, chunk, overlap)

@@ -6,14 +6,13 @@ sides of a boundary at ASCII white space, so the encoding of a text is that of i
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 
 import numpy as np
 
 #: Parts kept by one worker; a full store is emptied.
-STORE = 400_000
+STORE = 150_000
 
 #: The pre-tokenizer pattern of byte-level files, and white space beyond ASCII's (with the separators that
 #: Python or Unicode count as white space), at which the boundary property isn't claimed.
@@ -38,8 +37,8 @@ def _plain_specials(config: dict) -> bool:
     return all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\x0b\x0c")) for t in config["added_tokens"])
 
 
-@functools.cache
 def _loaded(name: str) -> tuple:
+    """The library's tokenizer and the file's contents."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
