@@ -78,6 +78,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_vptree_ann": vptree.SQL,
     "op5_blockmax_topk": blockmax.SQL,
     "op6_mix_sources": mixing.SQL,
+    "op8_url_filter": urlfilter.SQL,
 }

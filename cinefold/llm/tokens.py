@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 #: Parts kept by one worker; a full store is emptied.
-STORE = 150_000
+STORE = 300_000
 
 #: The pre-tokenizer pattern of byte-level files, and white space beyond ASCII's (with the separators that
 #: Python or Unicode count as white space), at which the boundary property isn't claimed.

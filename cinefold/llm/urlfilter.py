@@ -109,3 +109,43 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
     judged = judged.withColumn("_alias", F.when(F.col("host") != "", alias_key(F.col(url)))).join(aliases, "_alias", "left")
     own["verdict"] = F.coalesce("_fit.verdict", "_group", F.lit("allow"))
     return judged.withColumns(own).drop("_fit", "_alias", "_group")
+
+
+SQL = r"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags AS (
+    SELECT url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS shown FROM pages),
+hrefs AS (
+    SELECT url, unnest(list_concat(
+        list_transform(list_filter(regexp_extract_all(shown, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+        list_transform(list_filter(regexp_extract_all(shown, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) AS link
+    FROM tags),
+bases AS (
+    SELECT url, replace(link, '&amp;', '&') AS link, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^.*?://[^/?#]*') AS site,
+           regexp_extract(url, '(?s)^.*?://[^/?#]*((?:[^?#]*/)?)', 1) AS folder FROM hrefs WHERE link <> ''),
+targets AS (
+    SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN site || link
+                     ELSE site || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS link FROM bases),
+keyed AS (
+    SELECT regexp_replace(x, '(?s)#.*$', '') AS x, regexp_replace(y, '(?s)#.*$', '') AS y FROM (SELECT url AS x, link AS y FROM targets)
+    WHERE regexp_extract(x, '(?s)^.*?://([^/?#]*)', 1) <> '' AND regexp_extract(y, '(?s)^.*?://([^/?#]*)', 1) <> ''),
+ends AS (
+    SELECT translate(regexp_extract(x, '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(x, length(regexp_extract(x, '(?s)^.*?://[^/?#]*')) + 1) AS a,
+           translate(regexp_extract(y, '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(y, length(regexp_extract(y, '(?s)^.*?://[^/?#]*')) + 1) AS b FROM keyed),
+edges AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
+reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen),
+alias_fit AS (
+    SELECT r.node, arg_max(u.verdict, length(u.h || u.p)) AS verdict FROM (SELECT node, seen, regexp_extract(seen, '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(seen, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM reach) r
+    JOIN rules u ON (r.host = u.h OR ends_with(r.host, '.' || u.h)) AND starts_with(r.path, u.p) GROUP BY r.node, r.seen),
+aliases AS (SELECT node FROM alias_fit GROUP BY node HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')),
+split AS (
+    SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS n FROM pages),
+fit AS (
+    SELECT s.n, arg_max({'rule': u.h || u.p, 'verdict': u.verdict}, length(u.h || u.p)) AS f FROM split s JOIN rules u ON (s.host = u.h OR ends_with(s.host, '.' || u.h)) AND starts_with(s.path, u.p) GROUP BY s.n),
+own AS (
+    SELECT s.*, translate(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+           || substr(regexp_replace(url, '(?s)#.*$', ''), length(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*')) + 1) AS alias FROM split s)
+SELECT o.page_id, o.host, o.path, f.f.rule AS rule, coalesce(f.f.verdict, CASE WHEN a.node IS NOT NULL AND o.host <> '' THEN 'block' ELSE 'allow' END) AS verdict
+FROM own o LEFT JOIN fit f ON f.n = o.n LEFT JOIN aliases a ON a.node = o.alias
+"""

@@ -291,6 +291,10 @@ def test_rules_and_aliases(spark):
     assert found[8] == [("", "", None, "allow")] and found[9] == [("", "", None, "allow")]
     assert found[10] == [("com", "/de/a", "com/de/", "block")] and found[11] == [("com", "", None, "allow")] * 2
     assert urlfilter.judge(rows.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id INTEGER, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert same(urlfilter.judge(rows).select("page_id", "host", "path", "rule", "verdict"), urlfilter.SQL, con)
 
 
 def test_components_of_a_path_and_a_star(spark):
