@@ -10,6 +10,13 @@ from cinefold.llm.common import cut, n_words
 
 #: A document's place in its source: the first 60 bits of an MD5, dealt in levels of 12 bits.
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Most sources whose plan, a row each, is broadcast; with more, it is joined as any table.
+BROADCAST_ROWS = 100_000
+
+
+def small(plan: DataFrame) -> DataFrame:
+    """The plan, marked for broadcast if its rows, counted here, are few: else a hot source would be one task's."""
+    return F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
 
 
 def place(ident: Column, text: Column) -> Column:
@@ -55,7 +62,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...], share: float, most: i
     while done < HASH_BITS:
         done += LEVEL_BITS
         inside = sized if done == LEVEL_BITS else sized.join(
-            plan.where("places > 1").select("key", "low", "span"), "key"
+            small(plan.where("places > 1").select("key", "low", "span")), "key"
         ).where("place >= low AND place < low + span").select("key", "size", "place")
         summed = inside.groupBy("key", F.shiftright("place", HASH_BITS - done).alias("bucket")).agg(
             F.sum("size").alias("words"), F.min("place").alias("first"), F.max("place").alias("last"))
@@ -94,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rows = sized if narrow else docs.withColumns(work)
     taken = F.col("_mix_size") * (F.col("_mix_rounds") + (F.col("_mix_place") < F.col("_mix_threshold")).cast("long"))
     added = {"size": F.col("_mix_size"), "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "taken": taken}
-    out = rows.join(plan, "_mix_key").withColumns(added)
+    out = rows.join(small(plan), "_mix_key").withColumns(added)
     return out.drop(*[c for c in out.columns if c.startswith("_mix_")])
 
 
