@@ -130,7 +130,7 @@ ORACLE_SQL = {
         WITH {_D}, o AS (SELECT unnest(range(-2, 3)) AS k),
         m AS (SELECT i, j, CASE WHEN i + k < 0 THEN -(i + k) WHEN i + k >= n THEN 2 * (n - 1) - (i + k) ELSE i + k END AS si,
                      CASE WHEN j + k < 0 THEN -(j + k) WHEN j + k >= n THEN 2 * (n - 1) - (j + k) ELSE j + k END AS sj FROM d, n, o),
-        c AS (SELECT m.i, (m.j + 1) % any_value(n.n) AS j, sum(d.value) AS value FROM m JOIN d ON d.i = m.si AND d.j = m.sj, n GROUP BY m.i, m.j),
+        c AS MATERIALIZED (SELECT m.i, (m.j + 1) % any_value(n.n) AS j, round(sum(d.value), 9) AS value FROM m JOIN d ON d.i = m.si AND d.j = m.sj, n GROUP BY m.i, m.j),
         r AS (SELECT value, row_number() OVER (ORDER BY value) AS rank FROM c),
         l AS (SELECT (SELECT value FROM r WHERE rank = floor((SELECT count(*) FROM c) * 0.1::DOUBLE) + 1) AS lim, (SELECT avg(value) FROM c) * 0.5 AS sigma),
         x AS (SELECT i, j, CASE WHEN j - i <= -5 OR j - i = 1 OR j - i >= 5 THEN value ELSE 10 * value END AS value FROM c)
