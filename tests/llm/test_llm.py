@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import corpus_pipeline
-from cinefold.llm import blockmax, components, htmltext, mixing, packing, pii, quality, queries, simhash, tokencount, tokens, urlfilter, vptree
+from cinefold.llm import blockmax, components, htmltext, jaccard, mixing, packing, pii, quality, queries, simhash, tokencount, tokens, urlfilter, vptree
 from compare import SMALL, connection, same
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -401,3 +401,42 @@ def test_stages_against_brute_force(spark, tmp_path):
     taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(spark.read.parquet(str(tmp_path / "2"))).collect()}
     assert Tally(r["doc_id"] for r in steps[3]) == Tally({d: t // s for d, (t, s) in taken.items() if t})
     check_packing(steps[4], [(r["doc_id"], r["text"]) for r in steps[3]])
+
+
+def plain_kept(docs):
+    """The smallest id of every group that pairs of at least 0.8 join, on sets of five-word shingles."""
+    sets = {}
+    for ident, text in docs:
+        words = (text or "").encode().lower().split()
+        sets[ident] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    top = {d: d for d in sets}
+
+    def root(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and min(len(sets[a]), len(sets[b])) * 5 >= max(len(sets[a]), len(sets[b])) * 4 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                top[max(root(a), root(b))] = min(root(a), root(b))
+    return sorted(d for d in sets if root(d) == d)
+
+
+@pytest.mark.parametrize("shard", [3, jaccard.SHARD])
+def test_near_duplicates_equal_brute_force_jaccard(spark, shard):
+    docs = spark.read.parquet(f"{SMALL.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL) if shard == jaccard.SHARD else jaccard.deduplicate(docs, shard=shard)
+    assert sorted(r["doc_id"] for r in found.collect()) == plain_kept(map(tuple, docs.collect()))
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    copy = "one two three four five six seven"
+    rows = [(1, copy), (2, copy.upper()), (None, copy), (3, "w x y z"), (3, "other words are here"), (4, "other words are here"), (None, "n o p"), (None, "N O p"), (None, None), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "key", "fp", "component", "found")})
+    found = jaccard.deduplicate(docs)
+    assert found.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in found.collect()]
+    assert sorted(x for x in kept if x[0]) == [(1, copy), (3, "other words are here"), (3, "w x y z"), (9, " ")]
+    assert len([x for x in kept if x[0] is None]) == 1
+    assert jaccard.deduplicate(docs.limit(0)).count() == 0
