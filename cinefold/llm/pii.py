@@ -326,6 +326,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in _ANCHOR.finditer(text):
         if out and m.end() <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], _SIDE.match(text, m.end()).end()))
             continue
         start = max(0, m.start() - 12 * AROUND)
         if start and not text[start - 1].isspace() and (cut := re.compile(r"\s").search(text, start, m.start())):

@@ -366,6 +366,18 @@ def test_field():
     assert pii.found_spans(TEXTS, field) == pii.found_spans(TEXTS, field, narrow=False)
 
 
+def test_windows_reach_past_anchors_inside_them():
+    import random
+
+    field = pii.production_field()
+    assert pii.shown(pii.found_spans(["Room 42 is on the left john (at) example (dot) com"], field)[0][1]) == "email:23:50"
+    r = random.Random(7)
+    words = "the left of a long hall near that big old door and some more words".split()
+    rows = pii.labelled(150, 77)
+    texts = [" ".join([r.choice(("42", "7", "@", "room 12")), *r.choices(words, k=k), text]) for text, _ in rows for k in range(17)]
+    assert pii.found_spans(texts, field) == pii.found_spans(texts, field, narrow=False)
+
+
 def test_personal_data_of_odd_rows(spark):
     found = pii.find(odd_docs(spark).union(odd_docs(spark).limit(1).withColumn("text", F.lit("a@b.cd 1.2.3.4")))).collect()
     assert [r["spans"] for r in found][-1] == "email:0:6,ip:7:14" and found[-1]["masked"] == "[EMAIL] [IP]" and found[0]["spans"] == ""
