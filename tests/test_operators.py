@@ -158,3 +158,28 @@ def test_blob_relation_and_depth(spark):
     assert sorted((r["old"] or 0, r["new"] or 0, r["kind"]) for r in found.collect()) == [(0, 6, "birth"), (1, 9, "merge"), (2, 9, "merge"), (3, 7, "split"), (3, 8, "split"), (4, 0, "death")]
     boxes = spark.createDataFrame([(0, 1, 0.0, 0.0, 2.0, 9.0), (0, 2, 1.0, 0.0, 2.0, 3.0)], "frame long, object long, x double, y double, w double, h double")
     assert [r["object"] for r in tracks.depth_order(boxes).orderBy("place").collect()] == [2, 1]
+
+
+def test_parts_that_all_lines_connect_equal_brute_force(spark):
+    import duckdb
+    from cinefold.plans import catalog
+    from compare import SMALL
+
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for part, supplier in duckdb.sql(f"SELECT 'p' || l_partkey, 's' || l_suppkey FROM '{SMALL}/lineitem.parquet'").fetchall():
+        a, b = root(part), root(supplier)
+        top[max(a, b)] = min(a, b)
+    found = catalog.QUERIES["connected_parts_whole"](spark, SMALL).collect()
+    assert len(found) == len(top) and {r["node"]: r["component"] for r in found} == {x: root(x) for x in top}
+
+
+def test_components_of_hubs_and_chains_equal_brute_force(spark):
+    edges = [(f"h{k % 3}", f"l{k}") for k in range(90)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(40)]
+    found = {r["node"]: r["component"] for r in models.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert found == {x: "c00" if x[0] == "c" else f"h{int(x[1:]) % 3}" for edge in edges for x in edge}
