@@ -183,3 +183,25 @@ def test_components_of_hubs_and_chains_equal_brute_force(spark):
     edges = [(f"h{k % 3}", f"l{k}") for k in range(90)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(40)]
     found = {r["node"]: r["component"] for r in models.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert found == {x: "c00" if x[0] == "c" else f"h{int(x[1:]) % 3}" for edge in edges for x in edge}
+
+
+def test_geodesic_costs_of_many_jumps_equal_dijkstra(spark, tmp_path):
+    import heapq
+
+    from cinefold.plans import catalog
+
+    n = 25
+    at = np.cumsum(np.random.default_rng(4).uniform(0.3, 0.9, n)).astype(np.float32)
+    rows = [(k, [float(x), 0.0], 0) for k, x in enumerate(at)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    best, heap = {}, [(0.0, 0, 0)]
+    while heap:
+        cost_, i, jumps = heapq.heappop(heap)
+        if i not in best:
+            best[i] = (cost_, jumps)
+            for j in range(n):
+                if abs(i - j) >= 3:
+                    heapq.heappush(heap, (cost_ + abs(float(at[i]) - float(at[j])) ** 4, j, jumps + 1))
+    assert max(jumps for _, jumps in best.values()) > 3
+    found = {r["at"]: r["value"] for r in catalog.QUERIES["geodesic_cost"](spark, str(tmp_path)).collect()}
+    assert found.keys() == best.keys() and all(found[i] == pytest.approx(best[i][0], abs=1e-4) for i in best)
