@@ -34,7 +34,7 @@ class Blocks:
         self.starts, self.most, self.least = starts, np.maximum.reduceat(self.rows, starts, axis=0), np.minimum.reduceat(self.rows, starts, axis=0)
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[list[tuple]], int]:
-        """(-score, id) of each query's k best rows, and the number of blocks scored.
+        """(-score, id) of each query's k best ids, and the number of blocks scored.
 
         A block's bound sums, over the terms of the query, the term's maximum in the block times its weight (for a
         negative weight, the minimum). Blocks are scored by falling bound until it lies under the kth score; a bound
@@ -64,7 +64,10 @@ class Blocks:
                         keep = np.arange(len(row))
                     fresh = [(-int(row[j]), int(ids[j])) for j in keep.tolist() if ids[j] != own[q]]
                     if fresh:
-                        best[q] = sorted({*best[q], *fresh})[:k]
+                        distinct: dict[int, int] = {}
+                        for score, i in sorted({*best[q], *fresh}):
+                            distinct.setdefault(i, score)
+                        best[q] = [(score, i) for i, score in distinct.items()][:k]
         return best, scored
 
 

@@ -142,10 +142,22 @@ def search(index: tuple[DataFrame, int], queries: DataFrame, k: int = 10, factor
         rows: list[tuple] = []
         if len(tree) and len(part):
             planted: Tree = pickle.loads(tree["tree"].iloc[0])
-            away, which = planted.search(matrix(part["vector"], key[0]), k + 1, factor)
-            for own, distances, points in zip(part["id"].tolist(), away.tolist(), which.tolist(), strict=True):
-                found = [(d, i) for d, p in zip(distances, points, strict=True) if p >= 0 for i in planted.ids[planted.start[p] : planted.start[p + 1]][: k + 1].tolist() if i != own]
-                rows += [(own, i, d) for d, i in sorted(found)[:k]]
+            points, owns = matrix(part["vector"], key[0]), part["id"].to_numpy(np.int64)
+            todo, wide = np.arange(len(owns)), k + 1
+            while len(todo):  # where own and repeated ids leave fewer than k, more points are asked for
+                short = []
+                for q, distances, near in zip(todo.tolist(), *(x.tolist() for x in planted.search(points[todo], wide, factor)), strict=True):
+                    own, best = int(owns[q]), {}
+                    for d, p in zip(distances, near, strict=True):
+                        if p >= 0:
+                            for i in planted.ids[planted.start[p] : planted.start[p + 1]][: k + 1].tolist():
+                                if i != own:
+                                    best.setdefault(i, d)
+                    if len(best) < k and near[-1] >= 0:
+                        short.append(q)
+                    else:
+                        rows += [(own, i, d) for d, i in sorted((d, i) for i, d in best.items())[:k]]
+                todo, wide = np.array(short, np.int64), 2 * wide
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ("dim", "shard", "block")

@@ -211,6 +211,15 @@ def test_vectors_with_ties_and_holes(spark):
     assert vptree.search(vptree.build(rows.limit(0)), rows).count() == 0 and blockmax.top_k(rows.limit(0), rows).count() == 0
 
 
+def test_vectors_with_a_hot_id(spark):
+    rows = [(7, [1.0, 0.001 * n]) for n in range(30)] + [(0, [1.0, 0.0002 * n]) for n in range(30)] + [(n, [0.9 - 0.1 * n, 0.0]) for n in range(1, 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = table.where("vec_id = 0")
+    near = vptree.search(vptree.build(table), asked, k=4, factor=1.0)
+    assert [r["vec_id"] for r in near.orderBy("rank").collect()] == [7, 1, 2, 3]
+    assert [r["vec_id"] for r in blockmax.top_k(table, asked, k=4).orderBy("rank").collect()] == [7, 1, 2, 3]
+
+
 def test_blocks_prune_and_stay_exact():
     random = np.random.default_rng(3)
     rows = np.repeat(random.integers(-40, 40, (20, 6)), 50, axis=0).astype(float) + random.integers(0, 3, (1000, 6))
