@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,37 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand at most so many rows at a time to Python, which bounds its memory by the texts of one batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+#: The setting that bounds what is handed to Python at a time, and the bytes that the operators ask for.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Hand at most about so many bytes at a time to Python, which bounds its memory by one batch or one text.
+
+    It changes no result. A lazy result needs the bound when it runs, so the session keeps it; operators that run their
+    Python work at once use ``bounded`` instead.
+    """
+    if _bytes(spark.conf.get(_BATCH)) > size:
+        spark.conf.set(_BATCH, f"{size}b")
+
+
+@contextmanager
+def bounded(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """``small_batches`` for what runs inside; the session's own bound comes back."""
+    before = spark.conf.get(_BATCH)
+    small_batches(spark, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def _bytes(value: str) -> int:
+    """A size setting in bytes; without a bound, as negative values are, more than any."""
+    number = value.lower().rstrip("bkmgt ")
+    unit = value[len(number) :].strip().lower()[:1]
+    size = int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    return size if size > 0 else 1 << 62
 
 
 def n_words(text: str | Column) -> Column:

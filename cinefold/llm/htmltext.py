@@ -203,8 +203,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     Null and empty pages have an empty text; unclosed, misnested and very long markup is read to its end; repeated rows
     are handled alike; columns named text and n_chars are replaced; an empty table gives no rows.
     """
-
     small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

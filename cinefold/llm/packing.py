@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinefold.llm.common import cut, small_batches
+from cinefold.llm.common import bounded, cut
 from cinefold.llm.tokens import ByteEncoder
 
 #: Lengths over an eighth of a sequence are large; they are dealt into at most so many groups of equal cardinality.
@@ -175,8 +175,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     Null and empty texts are one piece of ``end_id``; repeated rows and ids are packed each for itself; columns but the
     id and the text aren't looked at; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    made = cut(pieces(docs, tokenizer, capacity, end_id, ident, text))
+    with bounded(docs.sparkSession):
+        made = cut(pieces(docs, tokenizer, capacity, end_id, ident, text))
     counts = made.groupBy("part", "length").count()
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = cut(counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))))

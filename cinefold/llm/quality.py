@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinefold.llm.common import cut, small_batches
+from cinefold.llm.common import bounded, cut, small_batches
 
 #: Byte classes whose shares of a text are statistics.
 _CLASSES = {
@@ -59,7 +59,6 @@ def statistics(text: str) -> list[float]:
 def measured(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, x) of every row, x as an array of the statistics."""
 
-    small_batches(docs.sparkSession)
     @F.pandas_udf("array<double>")
     def x(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -132,7 +131,8 @@ def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: st
     something else train nothing, and ids labelled twice count twice. Texts are read once, for the statistics. Null
     texts count as empty; repeated rows are scored alike; other columns aren't looked at; an empty table gives no rows.
     """
-    known = cut(measured(docs, ident, text))
+    with bounded(docs.sparkSession):
+        known = cut(measured(docs, ident, text))
     taught = labels.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     model = fit(known.join(taught, "id").select("label", "x"), shrinkage, ridge)
 
@@ -147,6 +147,7 @@ def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: st
 def accepted(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows that the model takes for label 1, with their own columns; texts are read twice and never shuffled."""
     taught = labels.select(F.col(ident).alias("id"), F.col(options.get("label", "quality")).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    small_batches(docs.sparkSession)
     model = fit(measured(docs, ident, text).join(taught, "id").select("label", "x"), options.get("shrinkage", SHRINKAGE), options.get("ridge", RIDGE))
 
     @F.pandas_udf("boolean")

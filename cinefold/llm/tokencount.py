@@ -31,8 +31,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     (0, 0, false). Very long texts are encoded in overlapping chunks; their count is the same. Repeated rows are counted
     alike; columns named as the three added ones are replaced; an empty table gives no rows.
     """
-
     small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = _counter(tokenizer, chunk, overlap)

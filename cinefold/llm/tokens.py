@@ -1,18 +1,16 @@
-"""Encoders over the public tokenizers that reuse what they have encoded, inside Python workers.
-
-Both rest on a property that is checked when a file is loaded: its pre-tokenizer never joins what stands on the two
-sides of a boundary at ASCII white space, so the encoding of a text is that of its parts, in order.
-"""
+"""Encoders over the public tokenizers, inside Python workers."""
 
 from __future__ import annotations
 
 import json
 import os
+import sys
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Parts kept by one worker; a full store is emptied.
-STORE = 300_000
+#: Bytes that one store of encoded parts may take, and what an entry takes besides its key and value.
+STORE_BYTES, ENTRY_BYTES = 32 << 20, 220
 
 #: The pre-tokenizer pattern of byte-level files, and white space beyond ASCII's (with the separators that
 #: Python or Unicode count as white space), at which the boundary property isn't claimed.
@@ -48,23 +46,51 @@ def _loaded(name: str) -> tuple:
     return Tokenizer.from_file(path), config
 
 
+class Store:
+    """Encoded parts in two generations, each of half the bytes; when the new one is full, the old one is dropped.
+
+    Parts that come again move to the new generation, so that what is frequent stays.
+    """
+
+    def __init__(self, limit: int = STORE_BYTES):
+        self.limit, self.size, self.new, self.old = limit, 0, {}, {}
+
+    def ready(self, wanted: set, make: Callable[[list], list]) -> dict:
+        """A table that holds all the wanted parts; ``make`` encodes those that neither generation has."""
+        missing = wanted.difference(self.new)
+        again = missing.intersection(self.old) if self.old else ()
+        fresh = list(missing.difference(again))
+        made = make(fresh)
+        self.new.update(zip(fresh, made, strict=True))
+        self.new.update((x, self.old[x]) for x in again)
+        self.size += ENTRY_BYTES * len(missing) + sum(map(len, fresh)) + (sum(map(len, made)) if made and isinstance(made[0], bytes) else 0)
+        table = self.new
+        if self.size > self.limit // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        return table
+
+
 class ByteEncoder:
-    """Ids of texts by a byte-level file, as the bytes of little-endian 32-bit numbers."""
+    """Ids of texts by a byte-level file, as the bytes of little-endian 32-bit numbers.
+
+    Where the file is a plain byte-level one, a text goes whole to the faster library with the same merges, which
+    returns its ids as bytes; nothing is kept between texts. The slower library has the last word: it encodes texts
+    with special strings or white space beyond ASCII's, and one text of every batch for comparison; after a
+    difference, all of them.
+    """
 
     def __init__(self, name: str):
         import regex
 
         self.library, config = _loaded(name)
         pre = config["pre_tokenizer"] or {}
-        self.parts = (
+        plain = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config["normalizer"]
             and not config["truncation"] and not config["padding"] and not config["model"].get("dropout") and _plain_specials(config)
         )
-        self.odd, self.units = regex.compile(ODD_SPACE), regex.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-        self.joined: dict[str, bytes] = {}
-        self.whole: dict[str, bytes] = {}
-        self.quick = self._merger(config) if self.parts else None
-        self.specials = [t["content"] for t in config["added_tokens"]]
+        self.quick = self._merger(config) if plain and sys.byteorder == "little" else None
+        strings = [regex.escape(t["content"]) for t in config["added_tokens"]]
+        self.odd = regex.compile("|".join([*strings, ODD_SPACE]))
 
     @staticmethod
     def _merger(config: dict):
@@ -82,60 +108,37 @@ class ByteEncoder:
         return tiktoken.Encoding("merges", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fresh(self, units: list[str]) -> list[bytes]:
-        if self.quick and units:
-            if self._library(units[:4]) == [self._merged(x) for x in units[:4]]:
-                return [self._merged(x) for x in units]
-            self.quick = None
-        return self._library(units)
-
-    def _merged(self, unit: str) -> bytes:
-        if any(s in unit for s in self.specials):
-            return self._library([unit])[0]
-        return np.array(self.quick.encode_ordinary(unit), "<u4").tobytes()
-
-    def _known(self, store: dict[str, bytes], units: list[list[str]], lead: str) -> list[bytes]:
-        if len(store) > STORE:
-            store.clear()
-        fresh = [x for x in set().union(*units) if x not in store]
-        store.update(zip(fresh, self._fresh([lead + x for x in fresh]), strict=True))
-        return [b"".join([store[x] for x in u]) for u in units]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _merged(self, text: str) -> bytes:
+        return bytes(self.quick._core_bpe.encode_to_tiktoken_buffer(text, set()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text; special strings in a text are handled as the library does by default."""
-        if not self.parts:
-            return self._library(texts)
-        out: list[bytes] = [b""] * len(texts)
-        spaced, ruled, other = [], [], []
-        for i, text in enumerate(texts):
-            if not text.isascii() and self.odd.search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                other.append(i)
-            elif any(x in text for x in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")):
-                ruled.append(i)
-            else:
-                spaced.append(i)
-        if other:
-            for i, ids in zip(other, self._library([texts[i] for i in other]), strict=True):
-                out[i] = ids
-        if ruled:
-            for i, ids in zip(ruled, self._known(self.whole, [self.units.findall(texts[i]) for i in ruled], ""), strict=True):
-                out[i] = ids
-        if spaced:
-            parts = [texts[i].split(" ") for i in spaced]
-            first = self._known(self.whole, [p[:1] if p[0] else [] for p in parts], "")
-            for i, a, b in zip(spaced, first, self._known(self.joined, [p[1:] for p in parts], " "), strict=True):
-                out[i] = a + b
+        usual = [i for i, text in enumerate(texts) if not self.odd.search(text)] if self.quick else []
+        if usual:
+            shortest = min((i for i in usual if len(texts[i]) > 200), key=lambda i: len(texts[i]), default=usual[0])
+            if self._library([texts[shortest]]) != [self._merged(texts[shortest])]:
+                self.quick, usual = None, []
+        out = [b""] * len(texts)
+        for i in usual:
+            out[i] = self._merged(texts[i])
+        rest = sorted(set(range(len(texts))).difference(usual))
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
 
 class Counter:
-    """Numbers of tokens of texts, huge ones by overlapping chunks."""
+    """Numbers of tokens of texts, huge ones by overlapping chunks.
+
+    Where a word-level file's pre-tokenizer, checked when it is loaded, never joins what stands on the two sides of
+    ASCII white space, a text's count is the sum of its words', and words that were counted before are looked up.
+    """
 
     def __init__(self, name: str, chunk: int, overlap: int):
         self.chunk, self.overlap, self.piece = chunk, overlap, place(name).endswith(".model")
-        self.store: dict[bytes, int] = {}
+        self.store = Store()
         if self.piece:
             import sentencepiece
 
@@ -157,11 +160,8 @@ class Counter:
         out = [-1] * len(texts)
         small = [i for i, text in enumerate(texts) if len(text) <= self.chunk]
         words = [texts[i].encode().split() for i in small]  # bytes split at ASCII white space alone
-        if len(self.store) > STORE:
-            self.store.clear()
-        fresh = [x for x in set().union(*words) if x not in self.store]
-        self.store.update(zip(fresh, (len(e) for e in self.library.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)), strict=True))
-        known = self.store.__getitem__
+        table = self.store.ready(set().union(*words), lambda fresh: [len(e) for e in self.library.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)])
+        known = table.__getitem__
         for i, own in zip(small, words, strict=True):
             out[i] = sum(map(known, own))
         return [self.spliced(text) if n < 0 else n for text, n in zip(texts, out, strict=True)]
