@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinefold.llm.common import cut, small_batches
-from cinefold.llm.components import connected_components
+from cinefold.llm.common import bounded, cut
+from cinefold.llm.components import connected_components, united
 
 #: Differing bits at which fingerprints still link, words of a shingle, seed of the hash.
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Most fingerprints in a shard's tree; a bucket with more is split into shards that meet two by two.
-SHARD = 4096
+#: Fingerprints that chance brings together in a bucket, and most in a shard's tree; a bucket with more than that is
+#: split into shards that meet two by two.
+BUCKET, SHARD = 1024, 4096
 #: Pairs of a fingerprint and a tree node that are looked at in one go.
 FRONTIER = 1 << 18
 #: Shingles of a text whose bits are unpacked at a time.
@@ -37,18 +38,22 @@ def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     first = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1].tolist()
     last = ends[words - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(first), AT_ONCE):
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[k : k + AT_ONCE], last[k : k + AT_ONCE], strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = 2 * counts > len(first)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    n = len(first)
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[k : k + AT_ONCE], last[k : k + AT_ONCE], strict=True)), np.uint64) for k in range(0, n, AT_ONCE))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of the 64-bit hashes, of which some are given at a time."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        counts += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, ident: str, text: str, words: int, seed: int) -> DataFrame:
     """(id, fp) of every row, fp as a signed long."""
 
-    small_batches(docs.sparkSession)
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -109,24 +114,13 @@ class Forest:
                     waiting.append((np.repeat(q, n), self.children[np.repeat(low, n) + step]))
 
 
-def united(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of every member's component, of n members and links between them."""
-    top = np.arange(n)
-    for a, b in links:
-        a, b = top[a], top[b]
-        while (a != b).any():
-            a, b = a[a != b], b[a != b]
-            np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(top, top[top]):
-                top = top[top]
-            a, b = top[a], top[b]
-    return top
+def blocks_for(rows: int, radius: int, bucket: int = BUCKET) -> int:
+    """Blocks of a fingerprint: with b of them, links agree in b - radius whole ones.
 
-
-def blocks_for(rows: int, radius: int) -> int:
-    """Blocks of a fingerprint: with b of them, links agree in b - radius whole ones. More rows, longer keys."""
+    As few as keep a bucket of unrelated fingerprints at ``bucket`` members: more rows, longer keys.
+    """
     blocks = radius + 1
-    while blocks < min(64, radius + 4) and rows >> (64 * (blocks - radius) // blocks) > 2:
+    while blocks < min(64, radius + 4) and rows >> (64 * (blocks - radius) // blocks) > bucket:
         blocks += 1
     return blocks
 
@@ -209,7 +203,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     links like any other. A row with a null id has its group's smallest id, null if the group has none; repeated rows
     and ids are returned as often as they come; other columns aren't looked at; an empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, ident, text, words, seed))
+    with bounded(docs.sparkSession):
+        rows = cut(fingerprints(docs, ident, text, words, seed))
     found = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     member = connected_components(star_links(found.select("fp"), radius, shard))
     grouped = cut(found.join(member, found.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))

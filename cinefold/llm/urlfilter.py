@@ -98,7 +98,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
     own = {"rule": F.col("_fit.rule"), "verdict": F.coalesce("_fit.verdict", F.lit("allow"))}
     if pairs.isEmpty():
         return judged.withColumns(own).drop("_fit")
-    member = connected_components(pairs)
+    member = connected_components(pairs, native=True)
     fit = fitting_rule(host_of(F.col("node")), path_of(F.col("node")), rules)
     blocked = (
         member.withColumn("fit", fit).groupBy("component")
