@@ -360,31 +360,83 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == plain_spans(text)
 
 
+def test_shapes():
+    text = "John's e-mail: JOHN @ Hosts\u00e9 dot COM, 7 255 256 12345678 x\u00b2 \u0663 \u65e5\u672c_"
+    words = pii.words_of(["", text, "", "de"])
+    names = {i: n for n, i in pii.SHAPES.items()}
+    assert [(text[a:b], names[k]) for i, a, b, k in zip(words.text, words.start, words.end, words.shape) if i == 1] == [
+        ("John", "title"), ("'", "other"), ("s", "lower"), ("e", "lower"), ("-", "-"), ("mail", "w mail"), (":", ":"), ("JOHN", "upper"), ("@", "@"), ("Hosts\u00e9", "title"), ("dot", "w dot"), ("COM", "w domain"),
+        (",", ","), ("7", "d1"), ("255", "d3"), ("256", "d3 over"), ("12345678", "d7"), ("x\u00b2", "other"), ("\u0663", "other"), ("\u65e5\u672c", "mixed"), ("_", "_")]
+    assert words.text[-1] == 3 and names[words.shape[-1]] == "w domain" and words.apart[-1]
+
+
 def test_field():
     field = pii.production_field()
     right = total = wrong = 0
     for text, spans in pii.labelled(200, 99):
-        found, feats = pii.features(text)
-        states = field.decode([feats])[0]
-        begins = {(int(s - 1) // 2, found[t][0]) for t, s in enumerate(states) if s % 2 == 1}
+        words = pii.words_of([text])
+        states = field.decode(words)
+        begins = {(int(s - 1) // 2, int(words.start[t])) for t, s in enumerate(states) if s % 2 == 1}
         true = {(k, a) for k, a, _ in spans}
         right, total, wrong = right + len(begins & true), total + len(true), wrong + len(begins - true)
     assert right / total > 0.95 and wrong / total < 0.05
     texts = ["mail john.doe [at] mail [dot] com now", "call (988) 555-2485 now", "host 10[.]0[.]0[.]1.", "on 2024-01-05 at 10:30 for $99.95, page 12-14"]
     assert [pii.shown(every) for _, every in pii.found_spans(texts, field)] == ["email:5:33", "phone:5:19", "ip:5:19", ""]
-    assert pii.found_spans(TEXTS, field) == pii.found_spans(TEXTS, field, narrow=False)
+    assert pii.shown(pii.found_spans(["Room 42 is on the left john (at) example (dot) com"], field)[0][1]) == "email:23:50"
 
 
-def test_windows_reach_past_anchors_inside_them():
+def test_best_states_equal_enumeration():
+    from itertools import product
+
+    random = np.random.default_rng(5)
+    for n in (1, 2, 3, 4):
+        field = pii.Field(random.normal(size=(pii.N_FEATURES, pii.N_STATES)), random.normal(size=(pii.N_STATES + 1, pii.N_STATES)))
+        for text in ("john @ 12 .", "+1 555 host com", "a 1. 7"):
+            words = pii.words_of([" ".join(text.split()[:n])])
+            scores = field.weights[pii.features(words)].sum(axis=1)
+            assert np.allclose(scores, field.scores(words))
+            if len(scores) <= 4:
+                paths = list(product(range(pii.N_STATES), repeat=len(scores)))
+                value = lambda p: field.moves[-1, p[0]] + sum(scores[t, s] for t, s in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:]))
+                best = max(paths, key=value)
+                assert tuple(field.decode(words)) == best and tuple(field.decode(words, prune=False)) == best
+
+
+def test_slopes_equal_differences():
+    sample, random = pii.Sample(pii.labelled(6, 3)), np.random.default_rng(6)
+    w, m = random.normal(size=(pii.N_FEATURES, pii.N_STATES)) / 5, random.normal(size=(pii.N_STATES + 1, pii.N_STATES)) / 5
+    _, by_weight, by_move = sample.loss(w, m)
+    seen = np.unique(sample.features)
+    for _ in range(25):
+        at = random.choice(seen), random.integers(pii.N_STATES)
+        step = np.zeros_like(w)
+        step[at] = 1e-5
+        assert (sample.loss(w + step, m)[0] - sample.loss(w - step, m)[0]) / 2e-5 == pytest.approx(by_weight[at], abs=1e-7)
+    for at in zip(*np.nonzero(pii.ALLOWED)):
+        step = np.zeros_like(m)
+        step[at] = 1e-5
+        assert (sample.loss(w, m + step)[0] - sample.loss(w, m - step)[0]) / 2e-5 == pytest.approx(by_move[at], abs=1e-7)
+
+
+def test_pruning_changes_no_state():
     import random
 
-    field = pii.production_field()
-    assert pii.shown(pii.found_spans(["Room 42 is on the left john (at) example (dot) com"], field)[0][1]) == "email:23:50"
-    r = random.Random(7)
+    field, r = pii.production_field(), random.Random(7)
     words = "the left of a long hall near that big old door and some more words".split()
-    rows = pii.labelled(150, 77)
-    texts = [" ".join([r.choice(("42", "7", "@", "room 12")), *r.choices(words, k=k), text]) for text, _ in rows for k in range(17)]
-    assert pii.found_spans(texts, field) == pii.found_spans(texts, field, narrow=False)
+    padded = [" ".join([r.choice(("42", "7", "@", "room 12")), *r.choices(words, k=k), text]) for text, _ in pii.labelled(150, 77) for k in range(17)]
+    for texts in (TEXTS, padded, [" ".join(padded)], ["", " "], ["7 " * 9000]):
+        tokens_ = pii.words_of(texts)
+        assert np.array_equal(field.decode(tokens_), field.decode(tokens_, prune=False))
+        assert pii.found_spans(texts, field) == [x for t in texts for x in pii.found_spans([t], field, prune=False)]
+    wild = pii.Field(np.random.default_rng(8).normal(size=(pii.N_FEATURES, pii.N_STATES)), np.random.default_rng(9).normal(size=(pii.N_STATES + 1, pii.N_STATES)))
+    tokens_ = pii.words_of(padded[:300])
+    assert np.array_equal(wild.decode(tokens_), wild.decode(tokens_, prune=False))
+
+
+def test_spans_beside_many_base_spans():
+    field = pii.production_field()
+    text = "mail " + "a@b.cd " * 40 + "call (988) 555-2485 now"
+    assert [s for s in pii.found_spans([text], field)[0][1] if s[0] == 3] == [(3, 290, 304)]
 
 
 def test_personal_data_of_odd_rows(spark):
