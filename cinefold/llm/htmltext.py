@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
-from math import exp
+from math import exp, log1p
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,21 +17,27 @@ from cinefold.llm.common import small_batches
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CHROME = frozenset(
-    "head nav header footer aside form button select option input menu menuitem dialog template svg math object applet canvas audio video map datalist fieldset legend label script style "
-    "textarea title xmp iframe noembed noframes noscript".split()
+#: Elements whose text a page never shows as its own, forms among them.
+SILENT = frozenset(
+    "head form button select option input dialog template svg math object applet canvas audio video map datalist fieldset legend script style textarea title xmp iframe noembed noframes noscript".split()
 )
-#: Words of class, id and role attributes that mark what isn't the article.
-CHROME_WORDS = frozenset(
+#: Elements and words of class, id and role attributes that hint at what isn't the article.
+HINT_TAGS = frozenset("nav header footer aside menu menuitem".split())
+HINT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comentarios commentaires consent cookie cookies complementary contentinfo "
     "copyright dialog disqus discussion footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion "
     "related reply replies respond search share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Elements that hold running text themselves, those in lists and tables among them.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt table thead tbody tfoot tr td th caption blockquote pre figcaption address summary".split())
 #: An open element that one of these opening closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
-#: Share of the page's fused score that the content's root must hold, share of its text in links at which a path is a
-#: list of links, and the share of the mean smoothed ratio under which a path is dropped.
-HOLDS, LINKED, THRESHOLD = 0.6, 0.6, 0.02
+_SCOPES = frozenset("ul ol table div article section body td blockquote".split())
+#: Share of what its parent holds that an element must hold to become the content's root, share of a path's text in
+#: links at which it is a list of links, and the share of the mean smoothed ratio under which a path is dropped.
+HOLDS, LINKED, THRESHOLD = 0.5, 0.6, 0.05
+#: Weight of text that stands in a container itself though the page has elements of running text, or that a hint names.
+WEAK = 0.02
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -44,16 +50,13 @@ _WORDS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
 
-def _chrome(tag: str, attributes: str) -> bool:
-    """Whether an element is boilerplate by its name or by what its attributes call it."""
-    if tag in CHROME:
+def _hinted(tag: str, attributes: str) -> bool:
+    """Whether an element's name, or what its attributes call it, hints at boilerplate."""
+    if tag in HINT_TAGS:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for m in _NAMES.finditer(attributes):
-        if CHROME_WORDS.intersection(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return bool(_HIDDEN.search(attributes))
+    return any(HINT_WORDS.intersection(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())) for m in _NAMES.finditer(attributes))
 
 
 def _tokens(html: str) -> Iterator[tuple]:
@@ -83,118 +86,148 @@ def _tokens(html: str) -> Iterator[tuple]:
             yield "close", tag
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(root-to-leaf tag path, text, characters in links) of every block outside boilerplate, in page order.
+class Page:
+    """A page's blocks of text, its block-level elements, and its tag paths, in page order.
 
-    A block lies between block-level tags; inline tags don't end it. Its path has the open block-level elements.
+    A block lies between block-level tags; inline tags don't end it. Elements and paths are numbered as they open, each
+    with its parent's number, so that nothing but the text grows with the depth.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []
-    chrome = links = linked = 0
-    text: list[str] = []
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            whole = " ".join(unescape("".join(text)).split())
-            if whole:
-                out.append((tuple(t for t, _ in stack if t not in INLINE), whole, linked))
-            text.clear()
-        linked = 0
-
-    def pop(to: int) -> None:
-        nonlocal chrome, links
-        if any(t not in INLINE for t, _ in stack[to:]):
-            flush()
-        for t, c in stack[to:]:
-            chrome -= c
-            links -= t == "a"
-        del stack[to:]
-
-    for token in _tokens(html):
-        kind = token[0]
-        if kind == "text":
-            if not chrome:
-                text.append(token[1])
-                linked += len(token[1]) if links else 0
-            continue
-        tag = token[1]
-        if kind == "close":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
-        if tag not in INLINE:
+
+    def __init__(self, html: str):
+        #: (element, path, text, characters in links, whether a hint names it) of every block.
+        self.blocks: list[tuple[int, int, str, int, bool]] = []
+        #: Parent and tag of every element; number 0 is the page.
+        self.elements: list[tuple[int, str]] = [(-1, "")]
+        #: (parent, tag) of every path to its number.
+        self.paths: dict[tuple[int, str], int] = {(-1, ""): 0}
+        self._read(html)
+
+    def _read(self, html: str) -> None:
+        stack: list[tuple[str, bool, bool, int, int]] = []  # tag, silent, hinted, element, path
+        count: dict[str, int] = {}
+        silent = hints = links = linked = 0
+        text: list[str] = []
+
+        def flush() -> None:
+            nonlocal linked
+            if text:
+                whole = " ".join(unescape("".join(text)).split())
+                if whole:
+                    self.blocks.append((*(stack[-1][3:] if stack else (0, 0)), whole, linked, hints > 0))
+                text.clear()
+            linked = 0
+
+        def pop(to: int) -> None:
+            nonlocal silent, hints, links
+            if any(x[0] not in INLINE for x in stack[to:]):
+                flush()
+            for tag, quiet, hint, _, _ in stack[to:]:
+                silent, hints, links = silent - quiet, hints - hint, links - (tag == "a")
+                count[tag] -= 1
+            del stack[to:]
+
+        for token in _tokens(html):
+            kind = token[0]
+            if kind == "text":
+                if not silent:
+                    text.append(token[1])
+                    linked += len(token[1]) if links else 0
+                continue
+            tag = token[1]
+            if kind == "close":
+                for k in range(len(stack) - 1, -1, -1) if count.get(tag) else ():
+                    if stack[k][0] == tag:
+                        pop(k)
+                        break
+                    if tag in INLINE and stack[k][0] not in INLINE:
+                        break
+                continue
             if tag == "br":
                 text.append(" ")
-            else:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):  # a paragraph ends where a block begins, an item where its next does
-                own = stack[k][0]
-                if own == "p" and tag != "br" and tag not in VOID or own in CLOSES.get(tag, ()):
-                    pop(k)
-                    break
-                if own in ("ul", "ol", "table", "div", "article", "section", "body", "td", "blockquote"):
-                    break
-        if tag not in VOID:
-            own = _chrome(tag, token[2])
-            if own and not chrome:
+            elif tag not in INLINE:
                 flush()
-            chrome += own
-            links += tag == "a"
-            stack.append((tag, own))
-    flush()
+                ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag not in VOID else frozenset())
+                for k in range(len(stack) - 1, -1, -1) if any(map(count.get, ends)) else ():  # a paragraph ends where a block begins, an item where its next does
+                    if stack[k][0] in ends:
+                        pop(k)
+                        break
+                    if stack[k][0] in _SCOPES:
+                        break
+            if tag not in VOID:
+                element, path = stack[-1][3:] if stack else (0, 0)
+                quiet, hint = tag in SILENT or bool(_HIDDEN.search(token[2])), _hinted(tag, token[2])
+                if tag not in INLINE:
+                    path = self.paths.setdefault((path, tag), len(self.paths))
+                    self.elements.append((element, tag))
+                    element = len(self.elements) - 1
+                elif quiet > silent or hint > hints:
+                    flush()
+                silent, hints, links = silent + quiet, hints + hint, links + (tag == "a")
+                count[tag] = count.get(tag, 0) + 1
+                stack.append((tag, quiet, hint, element, path))
+        flush()
+
+
+_KERNEL = [exp(-(k * k) / 2) for k in range(-2, 3)]
+
+
+def _smoothed(values: list[float]) -> list[float]:
+    """A Gaussian mean of every value and its four neighbours."""
+    out = []
+    for i in range(len(values)):
+        near = [(_KERNEL[k + 2], values[i + k]) for k in range(-2, 3) if 0 <= i + k < len(values)]
+        out.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
     return out
 
 
-def main_text(html: str) -> str:
-    """The article's text: blocks of the selected tag paths in page order, joined by one space.
+def main_text(html: str, hints: bool = True) -> str:
+    """The article's text: blocks of the selected content nodes in page order, joined by one space.
 
-    Each path has a text ratio (characters outside links per block) and a punctuation ratio (marks per block). Both
-    are smoothed over the order in which the paths appear, fused by multiplication, and scored by all their blocks. The
-    deepest element path that holds enough of the score is the content's root; under it, paths whose smoothed ratio is
-    far under the mean or whose text is mostly links are dropped.
+    Each tag path has a text ratio (characters outside links per block) and a punctuation ratio (marks per block), both
+    smoothed over the order in which the paths appear and fused on a logarithmic scale. An element's score sums its
+    blocks' text, weighted by their path's punctuation; text that stands in a container itself counts little. From the
+    page down, the element that holds most of its parent's score becomes the content's root, up to elements of running
+    text. Under it, paths whose fused ratio is far under the mean or whose text is mostly links are dropped. With
+    ``hints``, names that mark boilerplate weaken what they name; without them the ratios decide alone.
     """
-    found = blocks(html)
-    if not found:
+    page = Page(html)
+    if not page.blocks:
         return ""
-    paths: dict[tuple[str, ...], list[float]] = {}
-    for path, text, linked in found:
-        own = paths.setdefault(path, [0, 0, 0, 0])
+    tags = {number: tag for (_, tag), number in page.paths.items()}
+    paths: dict[tuple[int, bool], list[float]] = {}
+    for _, path, text, linked, hint in page.blocks:
+        own = paths.setdefault((path, hint and hints), [0, 0, 0, 0])
         own[0] += 1
         own[1] += max(0, len(text) - linked)
         own[2] += len(_PUNCTUATION.findall(text))
         own[3] += len(text)
-    order = list(paths)
-    ratios = [(paths[p][1] / paths[p][0], paths[p][2] / paths[p][0]) for p in order]
-    kernel = [exp(-(k * k) / 2) for k in range(-2, 3)]
-
-    def smooth(at: int, which: int) -> float:
-        near = [(kernel[k + 2], ratios[at + k][which]) for k in range(-2, 3) if 0 <= at + k < len(order)]
-        return sum(w * x for w, x in near) / sum(w for w, _ in near)
-
-    fused = {p: (1 + smooth(i, 0)) * (1 + smooth(i, 1)) for i, p in enumerate(order)}
-    weight = {p: (ratios[i][0]) * (1 + ratios[i][1]) * paths[p][0] for i, p in enumerate(order)}
-    total = sum(weight.values())
-    root: tuple[str, ...] = ()
-    while total:
-        held: dict[tuple[str, ...], float] = {}
-        for p, w in weight.items():
-            if p[: len(root)] == root and len(p) > len(root):
-                held[p[: len(root) + 1]] = held.get(p[: len(root) + 1], 0) + w
-        best = max(held, key=held.get, default=None)
-        if best is None or held[best] < HOLDS * total or best[-1] in ("p", "li", "ul", "ol", "table", "tbody", "tr", "td", "dl", "dd", "dt", "blockquote", "pre", "h1", "h2", "h3"):
-            break
-        root = best
-        if root[-1] in ("article", "main"):
-            break
-    inside = [p for p in order if p[: len(root)] == root]
-    mean = sum(fused[p] for p in inside) / len(inside) if inside else 0
-    kept = {p for p in inside if fused[p] >= THRESHOLD * mean and (paths[p][3] - paths[p][1] < LINKED * paths[p][3])}
-    return " ".join(text for path, text, _ in found if path in kept)
+    ratios = [(own[1] / own[0], own[2] / own[0]) for own in paths.values()]
+    fused = [log1p(a) * (1 + log1p(b)) for a, b in zip(*(_smoothed(list(x)) for x in zip(*ratios)))]
+    fused = {p: f * (WEAK if p[1] else 1) for p, f in zip(paths, fused)}
+    marks = {p: 1 + b for p, (_, b) in zip(paths, ratios)}
+    leaves = any(tags[path] in LEAVES and own[1] for (path, _), own in paths.items())
+    score = [0.0] * len(page.elements)
+    for element, path, text, linked, hint in page.blocks:
+        p = (path, hint and hints)
+        score[element] += max(0, len(text) - linked) * marks[p] * (WEAK if p[1] else 1) * (WEAK if leaves and tags[path] not in LEAVES else 1)
+    best: dict[int, int] = {}
+    for e in range(len(score) - 1, 0, -1):
+        parent = page.elements[e][0]
+        score[parent] += score[e]
+        if parent not in best or score[e] >= score[best[parent]]:
+            best[parent] = e
+    root = 0
+    while (next_ := best.get(root)) and score[next_] >= HOLDS * score[root] and page.elements[next_][1] not in LEAVES:
+        root = next_
+    inside = [False] * len(score)
+    inside[root] = True
+    for e in range(root + 1, len(score)):
+        inside[e] = inside[page.elements[e][0]]
+    found = [(inside[e], (path, hint and hints), text) for e, path, text, _, hint in page.blocks]
+    within = {p for here, p, _ in found if here}
+    mean = sum(fused[p] for p in within) / len(within) if within else 0
+    kept = {p for p in within if fused[p] >= THRESHOLD * mean and paths[p][3] - paths[p][1] < LINKED * paths[p][3]}
+    return " ".join(text for here, p, text in found if here and p in kept)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

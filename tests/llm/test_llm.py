@@ -329,13 +329,39 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+def plain_article(html):
+    """What stands in a page's article, blocks set apart by one space."""
+    inner = re.search("<article>(.*)</article>", html, re.S)[1]
+    return " ".join(__import__("html").unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:br|p|h1)>", " ", inner))).split())
+
+
+def without_names(html):
+    """The page with every container a div, and no class."""
+    return re.sub(r"(</?)(?:article|footer|nav)\b", r"\1div", html).replace(' class="ad"', "")
+
+
 def test_pages(spark):
-    found = queries.op9_main_text(spark, SMALL).join(spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    d = SMALL.replace("sf0.001", "sf0.01")
+    found = queries.op9_main_text(spark, d).join(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in found:
-        inner = re.sub(r"<[^>]*>", " ", re.search("<article>(.*)</article>", r["html"], re.S)[1])
-        assert set(r["text"].split()) == set(__import__("html").unescape(inner).split()) and r["n_chars"] == len(r["text"])
-    none = spark.createDataFrame([(1, None), (1, None)], "page_id int, html string").withColumn("text", F.lit(1))
-    assert [tuple(r)[-1] for r in htmltext.extract(none).collect()] == [0, 0]
+        want = plain_article(r["html"])
+        assert r["text"] == want and r["n_chars"] == len(want)
+        for html in (r["html"], without_names(r["html"]), r["html"].replace("<body>", "<body><div id=wrap><div>")):
+            assert htmltext.main_text(html, hints=False) == want
+    rows = [(1, None), (1, None), (2, ""), (3, "<p>same, same</p><p>same, same</p>"), (4, "<div>" * 20_000 + "deep"), (5, "<article><p>" + "long, text. " * 100_000 + "</article><footer>x</footer>")]
+    odd = htmltext.extract(spark.createDataFrame(rows, "page_id int, html string").withColumns({c: F.lit(1) for c in ("text", "n_chars", "url")})).collect()
+    assert [r["n_chars"] for r in odd] == [0, 0, 0, 21, 4, 1_199_999] and odd[3]["text"] == "same, same same, same" and odd[0]["url"] == 1
+    assert htmltext.extract(spark.createDataFrame([], "page_id int, html string")).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    from time import process_time
+
+    n = 20_000
+    for html in ("<div>x" * n, "<ul><li>" * n + "x", "<b><p>x" * n, "<div>" * n + "</span></section>" * n, "<p>" * n, "<li>x<b>" * n):
+        began = process_time()
+        htmltext.main_text(html)
+        assert process_time() - began < 2
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
