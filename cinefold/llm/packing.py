@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from cinefold.llm.common import bounded, cut
 from cinefold.llm.tokens import ByteEncoder
 
 #: Lengths over an eighth of a sequence are large; they are dealt into at most so many groups of equal cardinality.
-LARGE, GROUPS = 1 / 8, 448
+LARGE, GROUPS = 1 / 8, 32
 #: Texts that are encoded at a time.
 AT_ONCE = 256
 _RANK_BITS = 44
@@ -49,75 +50,73 @@ def grouped(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[in
     return sorted(merged.items(), reverse=True)
 
 
-def configuration(sizes: list[int], left: list[int], first: int, capacity: int) -> dict[int, int]:
-    """{size's index: number}: one item of the first size and, of those left, what fills the capacity best.
+def configurations(sizes: list[int], needs: list[int], capacity: int) -> list[tuple[list[int], float]]:
+    """([number of each size], times) of the configurations that hold all the needs in the least total times, in fractions.
 
-    Subset sums as bits of an integer, from the smallest size up; read back from the largest, so that small items stay.
+    Column generation: from configurations of one size each, the one that the current prices of the sizes make dearest
+    (a knapsack over the capacity) replaces another, until none is worth more than the one sequence it takes.
     """
-    space = capacity - sizes[first]
-    mask, reach, states = (1 << (space + 1)) - 1, 1, []
-    for i in range(len(sizes) - 1, first - 1, -1):
-        n = min(left[i] - (i == first), space // sizes[i])
-        step = 1
-        while n > 0:
-            take = min(step, n)
-            states.append((i, take, reach))
-            reach |= (reach << (take * sizes[i])) & mask
-            n, step = n - take, step * 2
-    at = reach.bit_length() - 1
-    chosen = {first: 1}
-    for i, take, before in reversed(states):
-        if not (before >> at) & 1:
-            chosen[i] = chosen.get(i, 0) + take
-            at -= take * sizes[i]
-    return chosen
+    size, m = np.array(sizes), len(sizes)
+    held = np.diag(capacity // size).astype(float)
+    inverse = np.diag(1 / np.diag(held))
+    times = inverse @ np.array(needs, float)
+    for _ in range(100 * m):
+        price = inverse.sum(axis=0)
+        worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for room in range(int(size.min()), capacity + 1):
+            offers = np.where(size <= room, worth[np.maximum(room - size, 0)] + price, -1)
+            best = int(offers.argmax())
+            worth[room] = worth[room - 1]
+            if offers[best] > worth[room]:
+                worth[room], last[room] = offers[best], best
+        if worth[capacity] <= 1 + 1e-7:
+            break
+        column, room = np.zeros(m), capacity
+        while room > 0:
+            if last[room] < 0:
+                room -= 1
+            else:
+                column[last[room]] += 1
+                room -= sizes[last[room]]
+        change = inverse @ column
+        ratio = np.full(m, np.inf)
+        np.divide(times, change, out=ratio, where=change > 1e-9)
+        out = int(ratio.argmin())
+        step = ratio[out]
+        times -= step * change
+        times[out] = step
+        held[:, out] = column
+        inverse[out] /= change[out]
+        others = np.arange(m) != out
+        inverse[others] -= np.outer(change[others], inverse[out])
+    return [([round(n) for n in held[:, j].tolist()], float(times[j])) for j in np.argsort(-times, kind="stable")]
 
 
 def plan(counts: dict[int, int], capacity: int, large: float = LARGE, groups: int = GROUPS) -> list[tuple[list[int], int]]:
     """([lengths], number of sequences) that hold every item of the histogram {length: number}.
 
-    Large lengths are rounded up to the longest of their group; configurations of rounded lengths, each filled as far as
-    it can be, are repeated as often as the counts allow; actual lengths take the rounded ones' places; then the small
-    ones go, longest first, where they leave the least room, and into new sequences where none has room. All work is
-    over counts, so it depends on the capacity and not on the number of items.
+    Large lengths are rounded up to the longest of their group, and configurations of these few sizes are optimised and
+    repeated a whole number of times. Then actual lengths take the sizes' places: the longest left of the group, and in
+    a sequence's last place the longest of all lengths that fits, so that what rounding up left free is used. What whole
+    numbers leave over, and the small lengths, go longest first where they leave the least room, and into new sequences
+    where none has room. All work is over counts: it depends on the capacity and the groups, not on the number of items.
     """
+    left = {n: c for n, c in counts.items() if c and n < capacity}
     bins: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
-    sizes_items = grouped({n: c for n, c in counts.items() if n > capacity * large}, groups)
-    sizes, waiting = [s for s, _ in sizes_items], [list(map(list, reversed(items))) for _, items in sizes_items]
-    left = [sum(n for _, n in items) for items in waiting]
-    first = 0
-    while first < len(sizes):
-        if not left[first]:
-            first += 1
-            continue
-        chosen = configuration(sizes, left, first, capacity)
-        times = min(left[i] // n for i, n in chosen.items())
-        slots = [i for i, n in chosen.items() for _ in range(n)]
-        for i, n in chosen.items():
-            left[i] -= n * times
-        runs = []
-        for i in slots:  # the actual items of each place, as runs of equal lengths
-            need, run = times, []
-            while need:
-                length, n = waiting[i][-1]
-                take = min(n, need)
-                run.append([length, take])
-                waiting[i][-1][1] -= take
-                if not waiting[i][-1][1]:
-                    waiting[i].pop()
-                need -= take
-            runs.append(run[::-1])
-        while times:
-            n = min(run[-1][1] for run in runs)
-            lengths = [run[-1][0] for run in runs]
-            bins[capacity - sum(lengths)].append((lengths, n))
-            times -= n
-            for run in runs:
-                run[-1][1] -= n
-                if not run[-1][1]:
-                    run.pop()
-    for length in sorted((n for n in counts if n <= capacity * large), reverse=True):
-        items = counts[length]
+    if counts.get(capacity):
+        bins[0].append(([capacity], counts[capacity]))
+    sizes_items = grouped({n: c for n, c in left.items() if n > capacity * large}, groups)
+    if sizes_items:
+        sizes, pools, lengths = [size for size, _ in sizes_items], [Counter() for _ in sizes_items], sorted(left)
+        for pool, (_, items) in zip(pools, sizes_items, strict=True):
+            for length, n in items:
+                pool[length] += n
+        for places, times in configurations(sizes, [sum(pool.values()) for pool in pools], capacity):
+            slots = [i for i, n in enumerate(places) for _ in range(n)]
+            for chosen, n in substituted(slots, pools, left, lengths, int(times + 1e-6), capacity):
+                bins[capacity - sum(chosen)].append((chosen, n))
+    for length in sorted(left, reverse=True):
+        items = left[length]
         while items:
             room = min((r for r, held in bins.items() if r >= length and held), default=None)
             if room is None:
@@ -127,14 +126,49 @@ def plan(counts: dict[int, int], capacity: int, large: float = LARGE, groups: in
                 if items % each:
                     bins[capacity - items % each * length].append(([length] * (items % each), 1))
                 break
-            lengths, n = bins[room].pop()
+            chosen, n = bins[room].pop()
             each = min(room // length, items)
             full = min(n, items // each)
             if n > full:
-                bins[room].append((lengths, n - full))
-            bins[room - each * length].append((lengths + [length] * each, full))
+                bins[room].append((chosen, n - full))
+            bins[room - each * length].append((chosen + [length] * each, full))
             items -= each * full
-    return [(lengths, n) for held in bins.values() for lengths, n in held]
+    return [(chosen, n) for held in bins.values() for chosen, n in held]
+
+
+def substituted(slots: list[int], pools: list[dict[int, int]], left: dict[int, int], lengths: list[int], times: int, capacity: int) -> Iterator[tuple[list[int], int]]:
+    """([actual lengths], number of sequences) of a configuration's places, taken out of ``pools`` and ``left``.
+
+    It ends early where earlier last places have taken what it needs.
+    """
+    while times:
+        chosen: list[int] = []
+        taken, used = Counter(), Counter()
+        for i in slots[:-1]:
+            length = next((x for x in pools[i] if pools[i][x] > taken[i, x] and left[x] > used[x]), None)
+            if length is None:
+                return
+            chosen.append(length)
+            taken[i, length] += 1
+            used[length] += 1
+        room = capacity - sum(chosen)
+        at = bisect_right(lengths, room) - 1
+        while at >= 0 and left[lengths[at]] <= used[lengths[at]]:
+            at -= 1
+        if at >= 0:
+            chosen.append(lengths[at])
+            used[lengths[at]] += 1
+        if not chosen:
+            return
+        n = min(times, *(left[x] // k for x, k in used.items()), *(pools[i][x] // k for (i, x), k in taken.items()))
+        for (i, x), k in taken.items():
+            pools[i][x] -= k * n
+            if not pools[i][x]:
+                del pools[i][x]
+        for x, k in used.items():
+            left[x] -= k * n
+        times -= n
+        yield chosen, n
 
 
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:

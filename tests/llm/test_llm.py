@@ -182,6 +182,42 @@ def test_plans_hold_every_item(lengths):
     assert sum(n for _, n in found) <= max(1.1 * sum(lengths) / 1024 + 1, sum(x > 512 for x in lengths))
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every way."""
+    best = [len(lengths)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= lengths[k] and rooms[i] not in rooms[:i]:
+                place(k + 1, [*rooms[:i], rooms[i] - lengths[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_configurations_and_plans_against_every_way():
+    import random
+
+    r = random.Random(11)
+    for _ in range(40):
+        counts = Tally(r.choices((97, 64, 55, 48, 41, 33, 26, 20, 15, 9), k=9))
+        sizes, needs = zip(*sorted(counts.items(), reverse=True))
+        found = packing.configurations(list(sizes), list(needs), 100)
+        assert all(t > -1e-9 and sum(n * s for n, s in zip(places, sizes)) <= 100 for places, t in found)
+        assert all(sum(places[i] * t for places, t in found) >= needs[i] - 1e-6 for i in range(len(sizes)))
+        least, lengths = fewest(sorted(counts.elements(), reverse=True), 100), sum(t for _, t in found)
+        assert sum(n * s for n, s in zip(needs, sizes)) / 100 - 1e-6 <= lengths <= least + 1e-6
+        planned = packing.plan(dict(counts), 100, groups=4)
+        assert least <= sum(n for _, n in planned) <= least + 1
+        assert sum((Tally({k: v * n for k, v in Tally(x).items()}) for x, n in planned), Tally()) == counts
+
+
 # 4, 5 ---------------------------------------------------------------------------------------------------------------
 
 
