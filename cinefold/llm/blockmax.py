@@ -79,19 +79,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     non-finite components, on both sides. Only vectors of the query's dimension are scored. Repeated rows count once; of
     several vectors with one id the best counts; scores beyond a long are held at its ends; empty tables give no rows.
     """
-    whole = lambda rows: rows.withColumn("vector", F.transform("vector", lambda x: F.floor(scale * x.cast("double")).cast("double")))
+    whole = lambda column, dim: np.floor(scale * matrix(column, dim))
     rows, shards = sharded(vectors, ident, vector, True, shard_rows)
     asked = queries.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"), True)).dropDuplicates(["id", "vector"])
     blocks = max(1, -(-asked.count() // block))
-    asked = whole(asked).withColumns({"dim": F.size("vector"), "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-    rows = whole(rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumns({"dim": F.size("vector"), "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def visit(key: tuple, part: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(part) and len(want):
-            index = Blocks(part["id"].to_numpy(np.int64), matrix(part["vector"], key[0]))
+            index = Blocks(part["id"].to_numpy(np.int64), whole(part["vector"], key[0]))
             own = want["id"].to_numpy(np.int64)
-            for q, found in zip(own.tolist(), index.search(own, matrix(want["vector"], key[0]), k)[0], strict=True):
+            for q, found in zip(own.tolist(), index.search(own, whole(want["vector"], key[0]), k)[0], strict=True):
                 out += [(q, i, max(-_LONG, min(_LONG - 1, -s))) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 

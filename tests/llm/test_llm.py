@@ -256,6 +256,16 @@ def test_vectors_with_a_hot_id(spark):
     assert [r["vec_id"] for r in blockmax.top_k(table, asked, k=4).orderBy("rank").collect()] == [7, 1, 2, 3]
 
 
+def test_products_beyond_a_long_are_held_at_its_ends(spark):
+    rows = [(0, [1e-20, 0.0]), (1, [1e20, 1.0]), (2, [3e20, 1.0]), (3, [2e20, -1.0]), (50, [2.0**-8, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    top = blockmax.top_k(table, table.where("vec_id = 50"), k=3)
+    assert [r["vec_id"] for r in top.orderBy("rank").collect()] == [1, 2, 3] and {r["score"] for r in top.collect()} == {2**63 - 1}
+    asked = spark.createDataFrame([(9, [2.0**-8])], "vec_id long, embedding array<float>")
+    near = spark.createDataFrame([(n, [2.0**50 * (1 + n / 8)]) for n in range(5)], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in blockmax.top_k(near, asked, k=2).orderBy("rank").collect()] == [(4, 2**58 * 3 // 2), (3, 2**58 * 11 // 8)]
+
+
 def test_blocks_prune_and_stay_exact():
     random = np.random.default_rng(3)
     rows = np.repeat(random.integers(-40, 40, (20, 6)), 50, axis=0).astype(float) + random.integers(0, 3, (1000, 6))
