@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinefold.session import ranked
+
 
 def median_frame(frames: DataFrame) -> DataFrame:
     """(group, k, value): the exact median of every component over a group's frames."""
@@ -53,7 +55,7 @@ def first_of_equal(rows: DataFrame, columns: list[str], order: str) -> DataFrame
 def dense_ids(rows: DataFrame, value: str, order: str) -> DataFrame:
     """(value, id): ids from 0 in the order of first appearance."""
     firsts = rows.groupBy(value).agg(F.min(order).alias("first"))
-    return firsts.select(value, (F.row_number().over(W.orderBy("first")) - 1).alias("id"))
+    return ranked(firsts, "first", "id").select(value, F.col("id").cast("int").alias("id"))
 
 
 def robust_loss(column: str) -> Column:

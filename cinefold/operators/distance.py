@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinefold.session import settled
+
 #: Rows in a block; a unit compares the rows of two.
 BLOCK = 512
 _CHUNK = 64
+#: Rows whose partners are counted at a time.
+_PAIR_ROWS = 1 << 12
 
 
 def _blocked(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -121,20 +125,56 @@ def last_within(pairs: DataFrame, threshold: float, frames: DataFrame) -> DataFr
     return frames.select("frame").join(close, "frame", "left").select("frame", F.coalesce("pick", F.lit(-1)).alias("pick"))
 
 
+def shared_counts(members: DataFrame, block: int = BLOCK, slice_rows: int = 1 << 20) -> DataFrame:
+    """(a, b, both): for every two sets a < b of (set, member) rows that share members, how many.
+
+    Sets are dealt into blocks and members into slices; every two blocks meet in a unit for each slice, which counts
+    over its own members and gives one row a pair. So neither a member of many sets nor a set of many members makes a
+    unit larger than its share, and no pair of rows is shuffled.
+    """
+    own = settled(members.select("set", "member").distinct())
+    rows, sets = own.agg(F.count("*"), F.count_distinct("set")).first()
+    n, slices = max(1, -(-sets // block)), max(1, -(-rows // slice_rows))
+    dealt = own.select("set", F.xxhash64("member").alias("code"), F.pmod(F.xxhash64("set"), F.lit(n)).cast("int").alias("x"), F.pmod(F.xxhash64("member"), F.lit(slices)).cast("int").alias("m"))
+    other = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kind = dict(members.dtypes)["set"]
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        names, own = np.unique(part["set"].to_numpy(), return_inverse=True)
+        order = np.argsort(part["code"].to_numpy(), kind="stable")
+        code, own = part["code"].to_numpy()[order], own[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        sizes = np.diff(np.r_[starts, len(code)])
+        both = np.zeros(len(names) ** 2, np.int64)
+        at = np.repeat(starts, sizes)
+        for k in range(0, len(code), _PAIR_ROWS):  # each row against all of its member's
+            size = np.repeat(sizes, sizes)[k : k + _PAIR_ROWS]
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            left, right = np.repeat(own[k : k + _PAIR_ROWS], size), own[np.repeat(at[k : k + _PAIR_ROWS], size) + step]
+            both += np.bincount((left * len(names) + right)[left < right], minlength=len(both))
+        hit = np.flatnonzero(both)
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        a, b = hit // len(names), hit % len(names)
+        if i != j:  # pairs inside one block belong to that block's own unit
+            block_of = np.zeros(len(names), np.int64)
+            block_of[own] = part["x"].to_numpy()[order]
+            a, b, hit = a[block_of[a] != block_of[b]], b[block_of[a] != block_of[b]], hit[block_of[a] != block_of[b]]
+        return pd.DataFrame({"a": names[a], "b": names[b], "both": both[hit]})
+
+    units = other.select("set", "code", "m", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    return units.groupBy("i", "j", "m").applyInPandas(count, f"a {kind}, b {kind}, both long").groupBy("a", "b").agg(F.sum("both").alias("both"))
+
+
 def overlap_normalised(members: DataFrame, values: DataFrame) -> DataFrame:
     """(a, b, distance) of sets that share a member: |value difference| over 2 shared / (|a| + |b| + .01) + .01.
 
-    ``members`` are (set, member) rows and ``values`` (set, value). Pairs come from an equi-join on members, so sets
-    that share nothing are never compared.
+    ``members`` are (set, member) rows and ``values`` (set, value). Sets that share nothing give no row.
     """
-    own = members.select("set", "member").distinct()
-    sizes = own.groupBy("set").agg(F.count("*").alias("n"))
+    sizes = members.select("set", "member").distinct().groupBy("set").agg(F.count("*").alias("n"))
     facts = sizes.join(values, "set")
-    side = lambda p: own.select(F.col("set").alias(p), "member")
-    shared = side("a").join(side("b"), "member").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     of = lambda p: facts.select(F.col("set").alias(p), F.col("n").alias(f"n_{p}"), F.col("value").alias(f"value_{p}"))
     overlap = 2 * F.col("both") / (F.col("n_a") + F.col("n_b") + 0.01) + 0.01
-    return shared.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.abs(F.col("value_a") - F.col("value_b")) / overlap).alias("distance"))
+    return shared_counts(members).join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.abs(F.col("value_a") - F.col("value_b")) / overlap).alias("distance"))
 
 
 def shifted(a: DataFrame, b: DataFrame, shift: int, distance: Column) -> DataFrame:

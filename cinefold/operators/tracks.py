@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_ROWS = 256
+from cinefold.session import settled
+
+#: Frames of a block of a track, and rows of distances that are held at a time.
+_BLOCK, _ROWS = 2048, 256
 
 
 def inside_edges(width: float, height: float, least: float) -> Column:
@@ -25,30 +28,43 @@ def corners(track: DataFrame) -> DataFrame:
     return track.withColumns({"x2": F.col("x") + F.col("w"), "y2": F.col("y") + F.col("h"), "mx": F.col("x") + F.col("w") / 2, "my": F.col("y") + F.col("h")})
 
 
-def motion(points: DataFrame, jump: float) -> DataFrame:
+def motion(points: DataFrame, jump: float, block: int = _BLOCK) -> DataFrame:
     """(object, frame, later, ratio, n, mean): every point's first later one further away than ``jump``, if any.
 
     ``points`` has (object, frame, mx, my, area); ratio is the areas' quotient, n the track's length and mean its mean
-    distance over all pairs. A track is one unit and holds a few hundred rows of distances at a time, never all pairs.
+    distance over all pairs. A track is cut into blocks of frames, one row each, and every two blocks of a track meet in
+    a row of their own: no row holds more than two blocks, however long the track.
     """
-
-    def unit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        xy, frame, area = part[["mx", "my"]].to_numpy(float), part["frame"].to_numpy(), part["area"].to_numpy(float)
-        n, total, first = len(part), 0.0, np.full(len(part), -1)
-        for k in range(0, n, _ROWS):
-            away = np.sqrt(((xy[k : k + _ROWS, None] - xy[None]) ** 2).sum(axis=2))
-            later = np.arange(n)[None] > np.arange(k, min(n, k + _ROWS))[:, None]
-            total += away[later].sum()
-            far = later & (away > jump)
-            first[k : k + _ROWS] = np.where(far.any(axis=1), far.argmax(axis=1), -1)
-        found = first >= 0
-        mean = total / (n * (n - 1) / 2) if n > 1 else float("nan")
-        ratio = np.where(found, area[first] / np.where(area > 0, area, np.nan), np.nan)
-        return pd.DataFrame({"object": part["object"], "frame": frame, "later": pd.Series(np.where(found, frame[first], -1), index=part.index), "ratio": ratio, "n": n, "mean": mean})
-
-    out = points.groupBy("object").applyInPandas(unit, f"object {dict(points.dtypes)['object']}, frame long, later long, ratio double, n long, mean double")
-    return out.withColumns({c: F.when(F.col("later") >= 0, F.col(c)) for c in ("ratio", "later")})
+    rows = points.select("object", F.floor(F.col("frame") / block).cast("long").alias("b"), F.struct(F.col("frame").cast("long").alias("frame"), *[F.col(c).cast("double").alias(c) for c in ("mx", "my", "area")]).alias("p"))
+    blocks = settled(rows.groupBy("object", "b").agg(F.array_sort(F.collect_list("p")).alias("p")))
+    later = blocks.select("object", F.col("b").alias("b2"), F.col("p").alias("q"))
+    met = blocks.join(later, "object").where("b2 >= b").select("object", F.col("b") == F.col("b2"), *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "pq" for c in ("frame", "mx", "my", "area")])
+    met = met.toDF("object", "own", *[f"{side}_{c}" for side in "pq" for c in ("frame", "mx", "my", "area")])
+
+    @F.pandas_udf("struct<total:double,at:array<struct<later:long,ratio:double>>>")
+    def pairs(own: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        totals, found = [], []
+        for same, frame, x, y, area, frame2, x2, y2, area2 in zip(own, *columns, strict=True):
+            total, at = 0.0, []
+            for k in range(0, len(frame), _ROWS):
+                away = np.hypot(x[k : k + _ROWS, None] - x2, y[k : k + _ROWS, None] - y2)
+                after = frame2 > frame[k : k + _ROWS, None] if same else np.ones(away.shape, bool)
+                total += away[after].sum()
+                far = after & (away > jump)
+                first = far.argmax(axis=1)
+                for row, j in enumerate(first.tolist()):
+                    at.append((int(frame2[j]), float(area2[j] / area[k + row]) if area[k + row] > 0 else None) if far[row, j] else (None, None))
+            totals.append(total)
+            found.append(at)
+        return pd.DataFrame({"total": totals, "at": found})
+
+    done = met.select("object", "p_frame", pairs("own", *[f"{side}_{c}" for side in "pq" for c in ("frame", "mx", "my", "area")]).alias("r"))
+    done = settled(done.select("object", "r.total", F.arrays_zip(F.col("p_frame").alias("frame"), F.col("r.at").alias("at")).alias("x")))
+    n = blocks.groupBy("object").agg(F.sum(F.size("p")).cast("long").alias("n"))
+    facts = n.join(done.groupBy("object").agg(F.sum("total").alias("total")), "object")
+    facts = facts.select("object", "n", F.when(F.col("n") > 1, F.col("total") / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(float("nan")).alias("mean"))
+    each = done.select("object", F.explode("x").alias("x")).groupBy("object", F.col("x.frame").alias("frame")).agg(F.min(F.when(F.col("x.at.later").isNotNull(), F.struct("x.at.later", "x.at.ratio"))).alias("jump"))
+    return each.join(facts, "object").select("object", "frame", F.col("jump.later").alias("later"), F.col("jump.ratio").alias("ratio"), "n", "mean")
 
 
 def admitted(moved: DataFrame, least: int, displacement: float) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | None = None, partitions: int = 8) -> SparkSession:
@@ -29,12 +31,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The rows, written to the cluster's checkpoint folder and cut off from their lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which is the cluster's ``spark.checkpoint.dir``.
 
-    A temporary folder is made only where the session names none in ``spark.checkpoint.dir`` (tests).
+    A temporary folder is made only where none is named and all tasks run in this process' machine; on a cluster, where
+    other machines wouldn't see it, that is an error.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cinefold-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cinefold-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The rows, written to the session's checkpoint folder and cut off from their lineage."""
+    checkpoint_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def ranked(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """The rows with their place, from 0, in the order of a column; equal values are in any order.
+
+    Rows are dealt by ranges of the column and numbered inside each; what lies before a range comes from the ranges'
+    counts, one row each, so no task has all rows.
+    """
+    dealt = settled(rows.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
+    out = dealt.withColumn("_place", inside).join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    return out.withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")

@@ -11,13 +11,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinefold.operators.tracks import last_wins, reassigned
+from cinefold.session import ranked, settled
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text): the lines of every file under the path, numbered from 0; one file is one row until it is split."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    split = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    return split.where(F.trim("text") != "")
+    """(file, line, text): the lines of every file under the path that aren't blank, numbered from 0 with those that are.
+
+    A large file is read in splits by many tasks. A line's number is its place in its split, in the order in which the
+    task reads it, after the lines of the file's earlier splits, which are counted first.
+    """
+    source = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")
+    read = settled(spark.read.text(path).select(*source, F.monotonically_increasing_id().alias("seen"), F.col("value").alias("text")))
+    counts = read.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("seen").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", "split", (before - F.col("first")).alias("shift"))
+    numbered = read.join(starts, ["file", "split"]).select("file", (F.col("seen") + F.col("shift")).alias("line"), F.regexp_replace("text", r"\r$", "").alias("text"))
+    return numbered.where(F.trim("text") != "")
 
 
 def mot_tracks(spark: SparkSession, path: str, threshold: float = 0.1) -> DataFrame:
@@ -47,7 +56,7 @@ def space_tracks(spark: SparkSession, path: str) -> DataFrame:
 def obj_mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """v, vt and vn as (file, n, values) and f as (file, face, corner, v, vt, vn), numbers as in the file, corners from 1."""
     parts = F.split(F.trim("text"), r"\s+")
-    tagged = lines(spark, path).select("file", "line", parts[0].alias("tag"), F.slice(parts, 2, 64).alias("rest"))
+    tagged = lines(spark, path).select("file", "line", parts[0].alias("tag"), F.slice(parts, F.lit(2), F.size(parts)).alias("rest"))
     order = lambda: F.row_number().over(W.partitionBy("file").orderBy("line"))
     out = {tag: tagged.where(F.col("tag") == tag).select("file", order().alias("n"), F.transform("rest", lambda x: x.try_cast("double")).alias("values")) for tag in ("v", "vt", "vn")}
     faces = tagged.where("tag = 'f'").select("file", order().alias("face"), "rest").select("file", "face", F.posexplode("rest").alias("corner", "token"))
@@ -90,12 +99,14 @@ def frame_listing(spark: SparkSession, path: str, pattern: str = "*.png") -> Dat
     Contents aren't read. The number is taken from the name, so frames over 9999 aren't lost to a pattern.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("file"))
-    position = F.row_number().over(W.orderBy("file")) - 1
-    return found.select("file", F.regexp_extract("file", r"(\d+)\.[^./]+$", 1).try_cast("long").alias("frame"), position.alias("position"))
+    return ranked(found, "file", "position").select("file", F.regexp_extract("file", r"(\d+)\.[^./]+$", 1).try_cast("long").alias("frame"), F.col("position").cast("int").alias("position"))
 
 
 def downsampled(frames: DataFrame, bytes_each: float, budget: float = 2e9) -> DataFrame:
-    """Every k-th frame, k the first of 2..5 that comes nearest the budget, once all frames together exceed it."""
+    """Every k-th frame, k the first of 2..5 that comes nearest the budget, once all frames together exceed it.
+
+    Taking fewer frames is what this operator is for; ``budget=float("inf")`` keeps all.
+    """
     size = frames.count() * bytes_each
     if size <= budget:
         return frames

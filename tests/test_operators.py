@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pytest
-from cinefold.operators import aggregate, cost, distance, inference, models, sequence, sparse, tracks
+from cinefold.operators import aggregate, cost, distance, graph, inference, models, sequence, sparse, tracks
 from cinefold.sources import readers, sinks
 from cinefold.streaming import playback
 from hypothesis import given, settings
@@ -181,8 +181,9 @@ def test_parts_that_all_lines_connect_equal_brute_force(spark):
 
 def test_components_of_hubs_and_chains_equal_brute_force(spark):
     edges = [(f"h{k % 3}", f"l{k}") for k in range(90)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(40)]
-    found = {r["node"]: r["component"] for r in models.components(spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert found == {x: "c00" if x[0] == "c" else f"h{int(x[1:]) % 3}" for edge in edges for x in edge}
+    for few in (0, 1 << 14):
+        found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a string, b string"), few).collect()}
+        assert found == {x: "c00" if x[0] == "c" else f"h{int(x[1:]) % 3}" for edge in edges for x in edge}
 
 
 def test_geodesic_costs_of_many_jumps_equal_dijkstra(spark, tmp_path):
