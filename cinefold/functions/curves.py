@@ -51,7 +51,10 @@ def multi_object_score(scores: Column, a: float = 2.0, b: float = 2.5) -> Column
 
 
 def colour_wheel() -> list[tuple[int, int, int]]:
-    """The 55 hues of the flow wheel: six ramps between neighbouring pure colours."""
+    """The 55 hues of the flow wheel of Baker et al. (2007): six ramps between neighbouring pure colours.
+
+    Fixed values: the numbers of hues of the ramps.
+    """
     ramps = ((15, (255, None, 0), 1), (6, (None, 255, 0), -1), (4, (0, 255, None), 1), (11, (0, None, 255), -1), (13, (None, 0, 255), 1), (6, (255, 0, None), -1))
     out = []
     for n, base, way in ramps:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cinefold.plans import arrays, costs, models, pairwise, sequences, tables
+from cinefold.plans import arrays, costs, models, pairwise, sequences, shapes, synthesis, tables
 
-_MODULES = (pairwise, sequences, arrays, costs, tables, models)
+_MODULES = (pairwise, sequences, arrays, costs, tables, shapes, synthesis, models)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
