@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinefold.session import checkpoint_folder, settled
+
 #: A word: a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,18 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder is made only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cinefold-checkpoint-"))
-    return context.getCheckpointDir()
+shared_folder = checkpoint_folder
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """The rows, written to the session's checkpoint folder and cut off from their lineage."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+    return settled(frame)
 
 
 #: The setting that bounds what is handed to Python at a time, and the bytes that the operators ask for.

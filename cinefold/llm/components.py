@@ -1,74 +1,17 @@
-"""Connected components as DataFrame joins, by repeated contraction of the edges."""
+"""Connected components, by the library's contraction."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from cinefold.llm.common import cut
-
-#: At most so many edges are left to one task, which joins them at once.
-FEW = 1 << 14
-
-
-def united(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of every member's component, of n members and links between them."""
-    top = np.arange(n)
-    for a, b in links:
-        a, b = top[a], top[b]
-        while (a != b).any():
-            a, b = a[a != b], b[a != b]
-            np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(top, top[top]):
-                top = top[top]
-            a, b = top[a], top[b]
-    return top
 
+from cinefold.operators.graph import FEW, components, united
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(at, to) of every node on the edges of one task."""
-    parts = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches if len(b)]
-    if parts:
-        ends = np.concatenate([np.concatenate(p) for p in zip(*parts, strict=True)])
-        nodes, number = np.unique(ends, return_inverse=True)
-        top = united(len(nodes), [tuple(number.reshape(2, -1))])
-        yield pd.DataFrame({"at": nodes, "to": nodes[top]})
+__all__ = ["connected_components", "united"]
 
 
 def connected_components(edges: DataFrame, native: bool = False) -> DataFrame:
     """(node, component) of every node on an edge (a, b); component is the smallest node reachable.
 
-    Each round points every node at its smallest neighbour (itself if smaller), follows that pointer once more, and
-    replaces the ends of the edges by what they point at; edges within one group vanish. Nodes that are still on an
-    edge at least halve, so the rounds are logarithmic; when few edges are left, one task joins them (not if ``native``,
-    which stays with DataFrame operations). The rounds' pointers are followed at the end. Minima are combined before
-    the shuffle and pointers are unique by node, so a hub only makes the edge side of a join uneven, which adaptive
-    execution splits. Edges with a null end are dropped, loops keep their node as its own component; repeated edges
-    count once; no edges give no rows.
+    With ``native`` only DataFrame operations are used, also when few edges are left.
     """
-    first = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    edges, kind = first.where("a <> b"), first.schema["a"].dataType.simpleString()
-    rounds: list[DataFrame] = []
-    while left := edges.count():
-        if left <= FEW and not native:
-            rounds.append(cut(edges.coalesce(1).mapInPandas(_joined, f"at {kind}, to {kind}")))
-            break
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("to")).select("at", F.least("at", "to").alias("to"))
-        over = up.select(F.col("at").alias("to"), F.col("to").alias("top"))
-        up = cut(up.join(over, "to").select("at", F.col("top").alias("to")))
-        rounds.append(up)
-        start, end = up.select(F.col("at").alias("a"), F.col("to").alias("a_to")), up.select(F.col("at").alias("b"), F.col("to").alias("b_to"))
-        edges = cut(
-            edges.join(start, "a").join(end, "b")
-            .select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-            .where("a <> b").distinct()
-        )
-    member = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
-    for up in rounds:
-        member = member.join(up, member.component == up.at, "left").select("node", F.coalesce("to", "component").alias("component"))
-    return member
+    return components(edges, 0 if native else FEW)

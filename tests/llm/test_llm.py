@@ -354,8 +354,9 @@ def test_rules_and_aliases(spark):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(12)] + [("hub", f"z{i}") for i in range(20)] + [("solo", "solo"), (None, "x")]
-    found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert {found[f"n{i:03}"] for i in range(13)} == {"n000"} and {found[f"z{i}"] for i in range(20)} == {"hub"} and found["solo"] == "solo" and len(found) == 35
+    for native in (False, True):
+        found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a string, b string"), native).collect()}
+        assert {found[f"n{i:03}"] for i in range(13)} == {"n000"} and {found[f"z{i}"] for i in range(20)} == {"hub"} and found["solo"] == "solo" and len(found) == 35
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------
