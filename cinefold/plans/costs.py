@@ -68,7 +68,7 @@ def sparse_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two instances a user, the second avoiding the first's levels."""
     out = inference.greedy([_chains(spark, sf_dir), _chains(spark, sf_dir, 0.3)], MOVES, CLASH, 0.5, 0.5)
-    return out[0].select("key", "t", F.col("label").alias("one")).join(out[1].select("key", "t", F.col("label").alias("two"), "energy"), ["key", "t"])
+    return out[0].select("key", "t", F.col("label").alias("one")).join(out[1].select("key", "t", F.col("label").alias("two"), F.round("energy", 5).alias("energy")), ["key", "t"])
 
 
 def future_cost_fixed_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,27 @@ def _best(moves: str) -> str:
         SELECT v.key, round(min(v.cost), 5) AS energy, any_value(n.n) AS n FROM v JOIN n ON n.key = v.key AND v.t = n.n - 1 GROUP BY v.key"""
 
 
+def _path(name: str, unary: str, before: str) -> str:
+    """SQL tables of the least path ``name``(key, path, energy) over rows ``unary``(key, t, l, cost)."""
+    return f"""{before}{name}_v AS (SELECT key, t, l, cost, l::VARCHAR AS path FROM {unary} WHERE t = 0
+              UNION ALL SELECT v.key, v.t + 1, u.l, min(v.cost + mv.c + u.cost), arg_min(v.path, {{'c': v.cost + mv.c, 'l': v.l}}) || u.l
+              FROM {name}_v v JOIN mv ON mv.a = v.l JOIN {unary} u ON u.key = v.key AND u.t = v.t + 1 AND u.l = mv.b GROUP BY v.key, v.t, u.l),
+        {name} AS MATERIALIZED (SELECT v.key, arg_min(path, {{'c': cost, 'l': l}}) AS path, min(cost) AS energy FROM {name}_v v JOIN n ON n.key = v.key AND v.t = n.n - 1 GROUP BY v.key)"""
+
+
+_HALF_MOVES = ", ".join(f"({a}, {b}, {c * 0.25!r}::DOUBLE)" for a, row in enumerate(MOVES) for b, c in enumerate(row))
+_GREEDY = f"""
+        WITH RECURSIVE {SERIES.replace('s AS (', 's AS MATERIALIZED (', 1)}, n AS MATERIALIZED (SELECT key, count(*) AS n FROM s GROUP BY key), mv(a, b, c) AS (VALUES {_HALF_MOVES}),
+        u1 AS MATERIALIZED (SELECT key, t, l, 0.5::DOUBLE * round(abs(value / 100 - l), 4) AS cost FROM s, range(5) r(l)),
+        {_path('one', 'u1', '')},
+        u2 AS MATERIALIZED (SELECT s.key, t, l, 0.5::DOUBLE * round(abs(value / 100 + 0.3::DOUBLE - l), 4) + 0.25::DOUBLE * CASE WHEN substr(one.path, t::INTEGER + 1, 1) = l::VARCHAR THEN 2.0::DOUBLE ELSE 0 END AS cost
+            FROM s JOIN one ON one.key = s.key, range(5) r(l)),
+        {_path('two', 'u2', '')}
+        SELECT s.key, s.t, substr(one.path, s.t::INTEGER + 1, 1)::INTEGER AS one, substr(two.path, s.t::INTEGER + 1, 1)::INTEGER AS two, round(two.energy, 5) AS energy
+        FROM s JOIN one ON one.key = s.key JOIN two ON two.key = s.key"""
+
 ORACLE_SQL = {
+    "greedy_multi": _GREEDY,
     "transition_cost": f"""
         WITH {_D}, o AS (SELECT unnest(range(-2, 3)) AS k),
         m AS (SELECT i, j, CASE WHEN i + k < 0 THEN -(i + k) WHEN i + k >= n THEN 2 * (n - 1) - (i + k) ELSE i + k END AS si,
