@@ -138,7 +138,7 @@ class Counter:
 
     def __init__(self, name: str, chunk: int, overlap: int):
         self.chunk, self.overlap, self.piece = chunk, overlap, place(name).endswith(".model")
-        self.store = Store()
+        self.store = Store(2 * STORE_BYTES)
         if self.piece:
             import sentencepiece
 
