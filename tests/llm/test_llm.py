@@ -125,6 +125,25 @@ def test_quality_of_odd_rows(spark):
     assert quality.classify(odd_docs(spark).limit(0), labels).count() == 0
 
 
+def test_quality_equals_a_plain_discriminant(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    known = dict(labels.select("doc_id", "quality").collect())
+    rows = [(r["doc_id"], np.array(quality.statistics(r["text"]))) for r in docs.select("doc_id", "text").collect()]
+    taught = [(x, known[d]) for d, x in rows if d in known and zlib.crc32(str(d).encode()) % 3 != 1]
+    every = np.array([x for x, _ in taught])
+    centre, spread = every.mean(axis=0), np.sqrt(np.maximum(every.var(axis=0), 1e-6))
+    log = {}
+    for c in (0, 1):
+        own = (np.array([x for x, q in taught if q == c]) - centre) / spread
+        d = own.shape[1]
+        cov = 0.8 * np.cov(own.T, bias=True) + 0.2 * np.eye(d) + 1e-3 * np.eye(d)
+        gaps = (np.array([x for _, x in rows]) - centre) / spread - own.mean(axis=0)
+        log[c] = np.log((len(own) + 0.5) / (len(taught) + 1)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", gaps, np.linalg.inv(cov), gaps)
+    want = {d: 1 / (1 + np.exp(np.clip(a - b, -700, 700))) for (d, _), a, b in zip(rows, log[0], log[1])}
+    found = {r["id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    assert found.keys() == want.keys() and all(found[d] == pytest.approx(want[d], abs=1e-6) for d in want)
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -581,3 +600,24 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert sorted(x for x in kept if x[0]) == [(1, copy), (3, "other words are here"), (3, "w x y z"), (9, " ")]
     assert len([x for x in kept if x[0] is None]) == 1
     assert jaccard.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_stages_of_odd_and_empty_documents(spark, tmp_path):
+    long = "Some words here, and more of them. " * 8000
+    rows = [(1, None, "en", None, None), (2, "", "en", "b", 0), (2, "", "en", "b", 0), (None, "one two three", None, "a", 13), (4, " \t\n", "de", "a", 3), (7, long, "en", "c", len(long)), (8, long + "mail a@b.cd", "en", "c", 1)]
+    odd = spark.createDataFrame(rows, DOCS)
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SMALL)
+            if k < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / str(k)))
+            docs = spark.read.parquet(str(tmp_path / name / str(k)))
+            assert name == "odd" or docs.count() == 0
+        if name == "odd":
+            assert sum(r["length"] for r in docs.collect()) > 0
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, odd, SMALL).collect()} == {1, None, 7, 8}
+    assert [r["text"][-7:] for r in corpus_pipeline.mask_personal_data(spark, odd, SMALL).where("doc_id = 8").collect()] == ["[EMAIL]"]
+    assert tokencount.count_tokens(odd.limit(0)).count() == 0
+    whole = tokencount.count_tokens(odd.where("doc_id = 7")).first()
+    assert whole["n_tokens"] == 9 * 8000 and whole["over_limit"]
