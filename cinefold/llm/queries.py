@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with SQL where it can express one."""
+"""The registered queries of the operators, with SQL where it can express one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import blockmax, htmltext, mixing, packing, pii, quality, simhash, tokencount, urlfilter, vptree
+from cinefold.llm import blockmax, htmltext, middle, mixing, packing, pii, quality, simhash, tokencount, urlfilter, vptree
 from cinefold.llm.common import table
 
 
@@ -64,6 +64,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document's fill-in-middle text, and of the text rebuilt from it."""
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256")
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_simhash_near_dups": op1_simhash_near_dups,
     "op2_quality": op2_quality,
@@ -75,6 +82,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -82,4 +90,5 @@ ORACLE_SQL = {
     "op5_blockmax_topk": blockmax.SQL,
     "op6_mix_sources": mixing.SQL,
     "op8_url_filter": urlfilter.SQL,
+    "op12_fill_in_middle": middle.SQL,
 }
