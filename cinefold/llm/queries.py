@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import blockmax, htmltext, middle, mixing, packing, pii, quality, simhash, tokencount, urlfilter, vptree
+from cinefold.llm import blockmax, htmltext, middle, mixing, packing, pii, quality, simhash, tokencount, turntrie, urlfilter, vptree
 from cinefold.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each rebuilt with the head that its hundred shares."""
+    return turntrie.prefix_trie(turntrie.with_shared_heads(turntrie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_simhash_near_dups": op1_simhash_near_dups,
     "op2_quality": op2_quality,
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_turn_trie": op13_turn_trie,
 }
 
 ORACLE_SQL = {
@@ -91,4 +97,5 @@ ORACLE_SQL = {
     "op6_mix_sources": mixing.SQL,
     "op8_url_filter": urlfilter.SQL,
     "op12_fill_in_middle": middle.SQL,
+    "op13_turn_trie": turntrie.SQL,
 }
