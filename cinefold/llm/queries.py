@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import blockmax, htmltext, middle, mixing, packing, pii, quality, simhash, tokencount, turntrie, urlfilter, vptree
+from cinefold.llm import blockmax, fastsketch, htmltext, middle, mixing, packing, pii, quality, simhash, tokencount, turntrie, urlfilter, vptree
 from cinefold.llm.common import table
 
 
@@ -64,6 +64,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_fast_sketch_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of word pairs, and its near-duplicate component."""
+    found = fastsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, cuts and digests of every document's fill-in-middle text, and of the text rebuilt from it."""
     made = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_main_text": op9_main_text,
     "op10_pii": op10_pii,
+    "op11_fast_sketch_dups": op11_fast_sketch_dups,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_turn_trie": op13_turn_trie,
 }
@@ -96,6 +103,7 @@ ORACLE_SQL = {
     "op5_blockmax_topk": blockmax.SQL,
     "op6_mix_sources": mixing.SQL,
     "op8_url_filter": urlfilter.SQL,
+    "op11_fast_sketch_dups": fastsketch.SQL,
     "op12_fill_in_middle": middle.SQL,
     "op13_turn_trie": turntrie.SQL,
 }
