@@ -205,8 +205,8 @@ e AS (SELECT doc_id, n, unnest(s) AS x FROM d),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
     GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 l AS (SELECT a, b FROM i UNION ALL SELECT b, a FROM i),
-r AS (SELECT doc_id, doc_id AS at FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at),
-c AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id)
+r AS (SELECT doc_id, doc_id AS node FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(c.component_id, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN d ON d.s = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN c ON c.doc_id = d.doc_id
 """
