@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 from math import exp, log1p
 
@@ -32,12 +32,19 @@ HINT_WORDS = frozenset(
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt table thead tbody tfoot tr td th caption blockquote pre figcaption address summary".split())
 #: An open element that one of these opening closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
+#: Headings, and the elements that are the page itself.
+HEADINGS, OUTER = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset(("", "html", "body"))
 _SCOPES = frozenset("ul ol table div article section body td blockquote".split())
-#: Share of what its parent holds that an element must hold to become the content's root, share of a path's text in
-#: links at which it is a list of links, and the share of the mean smoothed ratio under which a path is dropped.
-HOLDS, LINKED, THRESHOLD = 0.5, 0.6, 0.05
-#: Weight of text that stands in a container itself though the page has elements of running text, or that a hint names.
-WEAK = 0.02
+#: Words that may stand beside a hint in a compound name, as in ad-box or site-footer.
+NEUTRAL_WORDS = frozenset("area article articles bar block body bottom box button buttons container content form group inner inside item items left link links list main outer page panel post posts right section site slot text title top unit wrap wrapper".split())
+#: Elements that name the article, in which headers are its own.
+NAMED = frozenset("article main".split())
+#: Share of a path's text in links at which it is a list of links, and the share of the mean fused ratio under which its
+#: text isn't content.
+LINKED, THRESHOLD = 0.6, 0.1
+#: Weight of text that stands in a container itself though the page has paragraphs, and times their text that it must
+#: have, per block, to keep its weight.
+WEAK, LONG = 0.02, 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -46,17 +53,26 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
 
-def _hinted(tag: str, attributes: str) -> bool:
-    """Whether an element's name, or what its attributes call it, hints at boilerplate."""
+def _hinted(tag: str, attributes: str, named: bool) -> bool:
+    """Whether an element's tag, or a whole name that its attributes give it, is one of boilerplate.
+
+    A compound name counts if nothing in it but hints and neutral words stands: ad-box does, search-engines doesn't.
+    ``named``: it stands in an element that names the article, whose header is the article's own.
+    """
     if tag in HINT_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+        return not (named and tag == "header")
+    if not attributes or tag in ("html", "body") or tag in NAMED:
         return False
-    return any(HINT_WORDS.intersection(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())) for m in _NAMES.finditer(attributes))
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _NAME_PARTS.findall(name)}
+            if words & HINT_WORDS and words <= HINT_WORDS | NEUTRAL_WORDS:
+                return True
+    return False
 
 
 def _tokens(html: str) -> Iterator[tuple]:
@@ -104,8 +120,9 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, bool, bool, int, int]] = []  # tag, silent, hinted, element, path
-        count: dict[str, int] = {}
-        silent = hints = links = linked = 0
+        places: dict[str, list[int]] = {}  # of the open elements of each tag
+        blocks: list[int] = []  # places of the open block-level elements
+        silent = hints = links = linked = named = 0
         text: list[str] = []
 
         def flush() -> None:
@@ -118,14 +135,19 @@ class Page:
             linked = 0
 
         def pop(to: int) -> None:
-            nonlocal silent, hints, links
-            if any(x[0] not in INLINE for x in stack[to:]):
+            nonlocal silent, hints, links, named
+            if blocks and blocks[-1] >= to:
                 flush()
+                while blocks and blocks[-1] >= to:
+                    blocks.pop()
             for tag, quiet, hint, _, _ in stack[to:]:
-                silent, hints, links = silent - quiet, hints - hint, links - (tag == "a")
-                count[tag] -= 1
+                silent, hints, links, named = silent - quiet, hints - hint, links - (tag == "a"), named - (tag in NAMED)
+                places[tag].pop()
             del stack[to:]
 
+        def nearest(tags: Iterable[str]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
         for token in _tokens(html):
             kind = token[0]
             if kind == "text":
@@ -135,35 +157,30 @@ class Page:
                 continue
             tag = token[1]
             if kind == "close":
-                for k in range(len(stack) - 1, -1, -1) if count.get(tag) else ():
-                    if stack[k][0] == tag:
-                        pop(k)
-                        break
-                    if tag in INLINE and stack[k][0] not in INLINE:
-                        break
+                at = nearest((tag,))  # an inline element isn't closed from inside a block that it holds
+                if at >= 0 and (tag not in INLINE or not blocks or at > blocks[-1]):
+                    pop(at)
                 continue
             if tag == "br":
                 text.append(" ")
             elif tag not in INLINE:
                 flush()
                 ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag not in VOID else frozenset())
-                for k in range(len(stack) - 1, -1, -1) if any(map(count.get, ends)) else ():  # a paragraph ends where a block begins, an item where its next does
-                    if stack[k][0] in ends:
-                        pop(k)
-                        break
-                    if stack[k][0] in _SCOPES:
-                        break
+                at = nearest(ends)  # a paragraph ends where a block begins, an item where its next does
+                if at >= 0 and at >= nearest(_SCOPES):
+                    pop(at)
             if tag not in VOID:
                 element, path = stack[-1][3:] if stack else (0, 0)
-                quiet, hint = tag in SILENT or bool(_HIDDEN.search(token[2])), _hinted(tag, token[2])
+                quiet, hint = tag in SILENT or bool(_HIDDEN.search(token[2])), _hinted(tag, token[2], named > 0)
                 if tag not in INLINE:
                     path = self.paths.setdefault((path, tag), len(self.paths))
                     self.elements.append((element, tag))
                     element = len(self.elements) - 1
+                    blocks.append(len(stack))
                 elif quiet > silent or hint > hints:
                     flush()
-                silent, hints, links = silent + quiet, hints + hint, links + (tag == "a")
-                count[tag] = count.get(tag, 0) + 1
+                silent, hints, links, named = silent + quiet, hints + hint, links + (tag == "a"), named + (tag in NAMED)
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, quiet, hint, element, path))
         flush()
 
@@ -180,19 +197,14 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def main_text(html: str, hints: bool = True) -> str:
-    """The article's text: blocks of the selected content nodes in page order, joined by one space.
-
-    Each tag path has a text ratio (characters outside links per block) and a punctuation ratio (marks per block), both
-    smoothed over the order in which the paths appear and fused on a logarithmic scale. An element's score sums its
-    blocks' text, weighted by their path's punctuation; text that stands in a container itself counts little. From the
-    page down, the element that holds most of its parent's score becomes the content's root, up to elements of running
-    text. Under it, paths whose fused ratio is far under the mean or whose text is mostly links are dropped. With
-    ``hints``, names that mark boilerplate weaken what they name; without them the ratios decide alone.
+def passing(page: Page, hints: bool) -> list[bool]:
+    """Whether each block is content by the ratios of its tag path.
+
+    A path has a text ratio (characters outside links per block) and a punctuation ratio (marks per block), both
+    smoothed over the order in which the paths appear and fused on a logarithmic scale. A path passes whose fused ratio
+    is a tenth of the mean over the page's text, and whose text isn't mostly links. Text that stands in a container
+    itself counts little beside paragraphs, unless it is far longer than they are. What a hint names doesn't pass.
     """
-    page = Page(html)
-    if not page.blocks:
-        return ""
     tags = {number: tag for (_, tag), number in page.paths.items()}
     paths: dict[tuple[int, bool], list[float]] = {}
     for _, path, text, linked, hint in page.blocks:
@@ -201,33 +213,71 @@ def main_text(html: str, hints: bool = True) -> str:
         own[1] += max(0, len(text) - linked)
         own[2] += len(_PUNCTUATION.findall(text))
         own[3] += len(text)
-    ratios = [(own[1] / own[0], own[2] / own[0]) for own in paths.values()]
-    fused = [log1p(a) * (1 + log1p(b)) for a, b in zip(*(_smoothed(list(x)) for x in zip(*ratios)))]
-    fused = {p: f * (WEAK if p[1] else 1) for p, f in zip(paths, fused)}
-    marks = {p: 1 + b for p, (_, b) in zip(paths, ratios)}
-    leaves = any(tags[path] in LEAVES and own[1] for (path, _), own in paths.items())
-    score = [0.0] * len(page.elements)
-    for element, path, text, linked, hint in page.blocks:
-        p = (path, hint and hints)
-        score[element] += max(0, len(text) - linked) * marks[p] * (WEAK if p[1] else 1) * (WEAK if leaves and tags[path] not in LEAVES else 1)
-    best: dict[int, int] = {}
-    for e in range(len(score) - 1, 0, -1):
+    means = zip(*((own[1] / own[0], own[2] / own[0]) for own in paths.values()), strict=True)
+    fused = dict(zip(paths, (log1p(a) * (1 + log1p(b)) for a, b in zip(*(_smoothed(list(x)) for x in means), strict=True)), strict=True))
+    running = sum(own[1] for (path, hint), own in paths.items() if tags[path] in LEAVES and tags[path] not in HEADINGS and not hint)
+    weak = {p for p, own in paths.items() if tags[p[0]] not in LEAVES and tags[p[0]] not in OUTER and own[1] < LONG * running * own[0]}
+    fused = {p: f * (WEAK if p in weak else 1) for p, f in fused.items()}
+    weight = {p: own[1] * (WEAK if p in weak else 1) for p, own in paths.items()}
+    mean = sum(fused[p] * w for p, w in weight.items()) / max(sum(weight.values()), WEAK)
+    good = {p for p, own in paths.items() if not p[1] and fused[p] >= THRESHOLD * mean and own[3] - own[1] < LINKED * own[3]}
+    return [(path, hint and hints) in good for _, path, _, _, hint in page.blocks]
+
+
+def main_text(html: str, hints: bool = True) -> str:
+    """The article's text: the blocks of the content nodes in page order, joined by one space.
+
+    Content nodes are chosen by the ratios of the tag paths (``passing``). From the page down, an element gives way to
+    the one child that holds all passing text, and to an article or main element that holds most of it; the last one is
+    the content's root. An element that holds running text itself is the article, or a section of it, and is kept whole,
+    lists of links and short lines included; of an element that only holds others, those are kept that have content, and
+    what stands between them. Of the page itself what passes is kept, and what stands between. ``hints``: what names as
+    boilerplate mark is left out of all this; without them, or if nothing else is there, the ratios decide alone.
+    """
+    page = Page(html)
+    good = passing(page, hints) if page.blocks else []
+    if not any(good):
+        return main_text(html, False) if hints and page.blocks else ""
+    n = len(page.elements)
+    score, direct = [0] * n, [False] * n
+    tags = {number: tag for (_, tag), number in page.paths.items()}
+    for (element, path, text, _, _), ok in zip(page.blocks, good, strict=True):
+        if ok:
+            score[element] += len(text)
+            leaf = tags[path] in LEAVES
+            direct[page.elements[element][0] if leaf and element else element] = True
+    children: dict[int, list[int]] = {}
+    for e in range(n - 1, 0, -1):
         parent = page.elements[e][0]
         score[parent] += score[e]
-        if parent not in best or score[e] >= score[best[parent]]:
-            best[parent] = e
+        if score[e]:
+            children.setdefault(parent, []).append(e)
+        if direct[e] and page.elements[e][1] in LEAVES:  # text of a list's item stands in what holds the list
+            direct[parent] = True
     root = 0
-    while (next_ := best.get(root)) and score[next_] >= HOLDS * score[root] and page.elements[next_][1] not in LEAVES:
-        root = next_
-    inside = [False] * len(score)
-    inside[root] = True
-    for e in range(root + 1, len(score)):
-        inside[e] = inside[page.elements[e][0]]
-    found = [(inside[e], (path, hint and hints), text) for e, path, text, _, hint in page.blocks]
-    within = {p for here, p, _ in found if here}
-    mean = sum(fused[p] for p in within) / len(within) if within else 0
-    kept = {p for p in within if fused[p] >= THRESHOLD * mean and paths[p][3] - paths[p][1] < LINKED * paths[p][3]}
-    return " ".join(text for here, p, text in found if here and p in kept)
+    while not direct[root] or page.elements[root][1] in OUTER:
+        below = children.get(root, [])
+        only = [e for e in below if score[e] == score[root] or page.elements[e][1] in NAMED and 2 * score[e] >= score[root]]
+        if not only or page.elements[only[0]][1] in LEAVES:
+            break
+        root = only[0]
+    # whole: kept with all that stands in them; open: decided for each of their children
+    whole, open_ = [False] * n, [False] * n
+    open_[root] = True
+    for e in range(root, n):
+        parent = page.elements[e][0]
+        if e > root and whole[parent]:
+            whole[e] = True
+        elif e == root or open_[parent] and score[e]:
+            whole[e] = page.elements[e][1] in LEAVES or direct[e] and page.elements[e][1] not in OUTER
+            open_[e] = not whole[e]
+    inside = [False] * n
+    for e in range(root, n):
+        inside[e] = e == root or inside[page.elements[e][0]]
+    sure = [whole[b[0]] or ok and inside[b[0]] for b, ok in zip(page.blocks, good, strict=True)]
+    at = [i for i, x in enumerate(sure) if x]
+    span = range(at[0], at[-1] + 1) if at else range(0)
+    return " ".join(page.blocks[i][2] for i in span if (sure[i] or inside[page.blocks[i][0]]) and not (hints and page.blocks[i][4]))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
