@@ -63,11 +63,17 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def links_of(html: Column) -> Column:
-    """Targets of a page's canonical links and refresh redirects; comments, scripts and styles don't count."""
-    shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    """Targets of a page's canonical links and refresh redirects; comments, scripts and styles don't count.
+
+    Unclosed comments, scripts and styles go on to the end of the page, and an unclosed tag is none, so each character
+    is looked at a few times at most.
+    """
+    shown = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
+    tags = lambda name: F.filter(F.regexp_extract_all(shown, F.lit(rf"(?is)(<{name}\b[^>]*(?:>|\z))"), F.lit(1)), lambda t: F.endswith(t, F.lit(">")))
+    said = lambda word: rf"""\s*=\s*(?:"[^"]*\b{word}\b|'[^']*\b{word}\b|[^\s"'>]*\b{word}\b)"""
     tags = F.concat(
-        F.filter(F.regexp_extract_all(shown, F.lit(r"(?is)(<link\b[^>]*>)"), F.lit(1)), lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")),
-        F.filter(F.regexp_extract_all(shown, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1)), lambda t: t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")),
+        F.filter(tags("link"), lambda t: t.rlike(r"(?is)\brel" + said("canonical"))),
+        F.filter(tags("meta"), lambda t: t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")),
     )
     target = lambda t: F.trim(F.coalesce(
         F.nullif(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
