@@ -111,7 +111,10 @@ class ByteEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _merged(self, text: str) -> bytes:
-        return bytes(self.quick._core_bpe.encode_to_tiktoken_buffer(text, set()))
+        try:
+            return bytes(self.quick._core_bpe.encode_to_tiktoken_buffer(text, set()))
+        except ValueError:  # its patterns can't hold a run of some hundred thousand white-space characters
+            return self._library([text])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text; special strings in a text are handled as the library does by default."""

@@ -184,6 +184,16 @@ def check_packing(rows, documents):
     return len(held), math.ceil(sum(r["length"] for r in rows) / 1024)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n", "\u00a0"])
+def test_byte_ids_of_long_white_space(run):
+    """Runs that the faster library can't hold."""
+    encoder = tokens.ByteEncoder("byte_bpe_50k.json")
+    text = "begin " + run * (3_000_000 // len(run)) + " end"
+    whole = encoder.encode([text, "a short text"])
+    library = encoder.library.encode(text, add_special_tokens=False).ids
+    assert np.array_equal(np.frombuffer(whole[0], "<u4"), np.array(library, "<u4")) and encoder.quick is not None
+
+
 def test_packing_round_trip(spark):
     rows = queries.op3_best_fit_packing(spark, SMALL).collect()
     used, least = check_packing(rows, enumerate(TEXTS))
