@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.operators import cost, distance, inference
+from cinefold.operators import cost, distance, inference, joint
 from cinefold.plans.pairwise import PAIRS, SERIES, cross_ssd_by_label, frames, series
 
 MOVES = [[abs(a - b) * 0.5 for b in range(5)] for a in range(5)]
@@ -71,6 +71,12 @@ def greedy_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].select("key", "t", F.col("label").alias("one")).join(out[1].select("key", "t", F.col("label").alias("two"), F.round("energy", 5).alias("energy")), ["key", "t"])
 
 
+def joint_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two instances a user, chosen together: the least energy that their paths can have."""
+    found = joint.joint([_chains(spark, sf_dir), _chains(spark, sf_dir, 0.3)], MOVES, CLASH, 0.5, 0.5)
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.round(F.max("energy"), 4).alias("energy"))
+
+
 def future_cost_fixed_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = _matrix(spark, sf_dir).where("i <> j")
     return _round(inference.future_cost(moved, 2.0, 0.9, sweeps=3))
@@ -103,7 +109,7 @@ def label_prop_k_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (transition_cost, range_prob, top_transitions, frame_softmax, semantic_likelihood, unary_cost, viterbi_path, sparse_viterbi, greedy_multi, future_cost_fixed_k, geodesic_cost, compat_labelprob, compat_kernel, label_prop_k_iters)
+    for f in (transition_cost, range_prob, top_transitions, frame_softmax, semantic_likelihood, unary_cost, viterbi_path, sparse_viterbi, greedy_multi, joint_synthesis, future_cost_fixed_k, geodesic_cost, compat_labelprob, compat_kernel, label_prop_k_iters)
 }
 
 _D = f"{PAIRS}, d AS (SELECT i, j, sqrt(d2) AS value FROM p), n AS (SELECT count(*) AS n FROM embeddings)"
@@ -144,7 +150,18 @@ _GREEDY = f"""
         SELECT s.key, s.t, substr(one.path, s.t::INTEGER + 1, 1)::INTEGER AS one, substr(two.path, s.t::INTEGER + 1, 1)::INTEGER AS two, round(two.energy, 5) AS energy
         FROM s JOIN one ON one.key = s.key JOIN two ON two.key = s.key"""
 
+#: All pairs of labels at once: the product of the two chains.
+_JOINT = f"""
+        WITH RECURSIVE {SERIES.replace('s AS (', 's AS MATERIALIZED (', 1)}, n AS MATERIALIZED (SELECT key, count(*) AS n FROM s GROUP BY key), mv(a, b, c) AS (VALUES {_HALF_MOVES}),
+        u AS MATERIALIZED (SELECT key, t, x.l AS one, y.l AS two, 0.5::DOUBLE * round(abs(value / 100 - x.l), 4) + 0.5::DOUBLE * round(abs(value / 100 + 0.3::DOUBLE - y.l), 4) + CASE WHEN x.l = y.l THEN 0.5::DOUBLE ELSE 0 END AS cost
+            FROM s, range(5) x(l), range(5) y(l)),
+        v AS (SELECT key, t, one, two, cost FROM u WHERE t = 0
+              UNION ALL SELECT v.key, v.t + 1, u.one, u.two, min(v.cost + p.c + q.c + u.cost) FROM v JOIN mv p ON p.a = v.one JOIN mv q ON q.a = v.two
+                  JOIN u ON u.key = v.key AND u.t = v.t + 1 AND u.one = p.b AND u.two = q.b GROUP BY v.key, v.t, u.one, u.two)
+        SELECT v.key, any_value(n.n) AS n, round(min(v.cost), 4) AS energy FROM v JOIN n ON n.key = v.key AND v.t = n.n - 1 GROUP BY v.key"""
+
 ORACLE_SQL = {
+    "joint_synthesis": _JOINT,
     "greedy_multi": _GREEDY,
     "transition_cost": f"""
         WITH {_D}, o AS (SELECT unnest(range(-2, 3)) AS k),
