@@ -20,27 +20,37 @@ SIMILAR = 80
 #: Bits of a sketch that may differ in pairs that are checked: at similarity 0.8 one differs with a chance of 0.1, so a
 #: pair goes beyond with a chance under 2e-11.
 APART = 53
-#: Most sets in a unit of work.
-SHARD = 512
+#: Most sets in a unit of work, and those that are compared with one at a time.
+SHARD, AT_ONCE = 512, 64
 
 
-def alike(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
-    """Whether two sets are similar enough, in whole numbers."""
-    if 100 * min(len(a), len(b)) < similar * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= similar * (len(a) + len(b) - both)
+def alike(one: np.ndarray, others: list[np.ndarray], similar: int = SIMILAR) -> np.ndarray:
+    """Which of some sets that aren't empty are similar enough to one, in whole numbers."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    values = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, values), len(one) - 1)] == values
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= similar * (len(one) + sizes - both)
 
 
 def linked(sets: list[np.ndarray], bits: np.ndarray, label: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """The labels, from numbers below the sets', joined where sets are alike; sets of one label aren't compared."""
+    """The labels, from numbers below the sets', joined where sets are alike; sets of one label aren't compared.
+
+    The nearest sketches come first, some at a time.
+    """
     label = label.copy()
     for a in range(len(sets) - 1):
-        rest = slice(a + 1, None)
-        for b in a + 1 + np.flatnonzero((label[rest] != label[a]) & (differing(bits[rest], bits[a]) <= APART)):
-            if label[a] != label[b] and alike(sets[a], sets[b], similar):
-                low, high = sorted((label[a], label[b]))
-                label[label == high] = low
+        rest = a + 1 + np.flatnonzero(label[a + 1 :] != label[a])
+        away = differing(bits[rest], bits[a])
+        rest, away = rest[away <= APART], away[away <= APART]
+        rest = rest[np.argsort(away, kind="stable")]
+        while len(rest):
+            some, rest = rest[:AT_ONCE], rest[AT_ONCE:]
+            for b in some[alike(sets[a], [sets[b] for b in some], similar)]:
+                if label[a] != label[b]:
+                    low, high = sorted((label[a], label[b]))
+                    label[label == high] = low
+            rest = rest[label[rest] != label[a]]
     return label
 
 
@@ -95,7 +105,7 @@ def unit_links(units: DataFrame, similar: int) -> DataFrame:
         unit, held = None, ([], [], [], [])
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("x", "i", "j", "node", "label")]
-            for *at, node, label, bits, found in zip(*columns, numbers(batch.column("bits")), numbers(batch.column("found")), strict=True):
+            for *at, node, label, bits, found in zip(*columns, *(numbers(batch.column(c)) for c in ("bits", "found")), strict=True):
                 if at != unit:
                     if len(held[0]) > 1:
                         yield done()
