@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cinefold.plans import arrays, costs, edits, grids, models, pairwise, sequences, shapes, synthesis, tables
+from cinefold.plans import arrays, costs, edits, embeddings, grids, models, pairwise, sequences, shapes, synthesis, tables
 
-_MODULES = (pairwise, sequences, arrays, costs, tables, shapes, synthesis, edits, models, grids)
+_MODULES = (pairwise, sequences, arrays, costs, tables, shapes, synthesis, edits, models, grids, embeddings)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
