@@ -105,3 +105,12 @@ def ray_plane(origin: tuple, ray: tuple, point: tuple, normal: tuple) -> Column:
     along = dot(ray, normal)
     away = dot(tuple(p - o for p, o in zip(point, origin, strict=True)), normal)
     return F.when(F.abs(along) > 1e-10, away / along)
+
+
+def look_at(eye: tuple[float, float, float], target: tuple[float, float, float], focal: float, centre: tuple[float, float]) -> np.ndarray:
+    """The 3 x 4 projection of a camera that looks at a target, z up; depths are positive in front of it."""
+    forward = np.subtract(target, eye) / np.linalg.norm(np.subtract(target, eye))
+    right = np.cross(forward, (0.0, 0.0, 1.0)) / np.linalg.norm(np.cross(forward, (0.0, 0.0, 1.0)))
+    turn = np.array([right, np.cross(forward, right), forward])
+    inner = np.array([[focal, 0, centre[0]], [0, focal, centre[1]], [0, 0, 1]])
+    return inner @ np.column_stack((turn, -turn @ np.asarray(eye, float)))

@@ -48,7 +48,7 @@ def test_tree_holds_every_point_once(spark):
     y, p = planted(60, 3)
     tree, members, _ = embed.quadtree(frames(spark, y, p)[0], 4)
     found = tree.collect()
-    assert sum(r["n"] for r in found if not r["open"]) == 80 == sum(r["n"] for r in members.collect())
+    assert sum(r["n"] for r in found if not r["open"]) == 60 == sum(r["n"] for r in members.collect())
     assert all(r["n"] > 4 for r in found if r["open"])
     assert len({(r["x"], r["y"]) for r in members.collect()}) == members.count() == len(np.unique(y, axis=0))
 
