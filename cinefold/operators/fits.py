@@ -65,12 +65,13 @@ def shape_residuals(parameters: np.ndarray, weight: float) -> tuple[np.ndarray,
 
 
 def summed(residuals: np.ndarray, slopes: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
-    """(count, 1 + p + p p): each problem's cost, slope and curvature, from rows that name their problem."""
+    """(count, 1 + p + p p): each problem's cost, slope and curvature, from rows that name their problem, one after the other."""
     cost = (residuals**2).sum(axis=1)[:, None]
     slope = np.einsum("nr,nrp->np", residuals, slopes)
     curve = np.einsum("nrp,nrq->npq", slopes, slopes).reshape(len(slopes), -1)
-    out = np.zeros((count, cost.shape[1] + slope.shape[1] + curve.shape[1]))
-    np.add.at(out, owner, np.hstack((cost, slope, curve)))
+    out = np.zeros((count, 1 + slope.shape[1] + curve.shape[1]))
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    out[owner[starts]] = np.add.reduceat(np.hstack((cost, slope, curve)), starts, axis=0)
     return out
 
 
@@ -109,13 +110,16 @@ class Descent:
         self.done |= lost | small | (self.damping > 1e12)
 
 
-def minimised(start: np.ndarray, sums: Callable[[np.ndarray], np.ndarray], free: np.ndarray, rounds: int, tolerance: float) -> Descent:
-    """Problems whose sums one function gives for all of them together."""
+def minimised(start: np.ndarray, sums: Callable[[np.ndarray, np.ndarray], np.ndarray], free: np.ndarray, rounds: int, tolerance: float) -> Descent:
+    """Problems whose sums one function gives together, for the trials and numbers of those that haven't ended."""
     state = Descent.begun(start)
     for _ in range(rounds):
-        if state.done.all():
+        live = np.flatnonzero(~state.done)
+        if not len(live):
             break
-        state.advance(sums(state.trial), free, tolerance)
+        total = state.sums.copy()
+        total[live] = sums(state.trial[live], live)
+        state.advance(total, free, tolerance)
     return state
 
 
@@ -153,6 +157,8 @@ def fitted(observed: DataFrame, start: DataFrame, camera: np.ndarray, held: tupl
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).join(start.select("key", F.col("start").cast("array<double>").alias("start")), "key")
     rows = rows.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64(*_SEEN), F.ceil(F.col("n") / long)))
     # rows that are alike go to one piece, which bounds it only by how often a row is repeated
+    # so many partitions as named, as the work of a row is far beyond its size
+    rows = rows.repartition(int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "piece")
     pieces = settled(rows.groupBy("key", "piece", "n", "start").agg(F.collect_list(F.array(*_SEEN)).alias("seen")))
     tracks = lambda batch: [np.array(s.tolist() if isinstance(s, np.ndarray) else s, float).reshape(-1, len(_SEEN)) for s in batch["seen"]]
 
@@ -160,7 +166,7 @@ def fitted(observed: DataFrame, start: DataFrame, camera: np.ndarray, held: tupl
         for batch in batches:
             if len(batch):
                 begin, seen = np.array(batch["start"].tolist(), float), tracks(batch)
-                state = minimised(begin, lambda p: _piece_sums(p, begin[:, 5], seen, camera) + _prior_sums(p, prior), free, rounds, tolerance)  # noqa: B023
+                state = minimised(begin, lambda p, live: _piece_sums(p, begin[live, 5], [seen[k] for k in live], camera) + _prior_sums(p, prior), free, rounds, tolerance)  # noqa: B023
                 yield pd.DataFrame({"key": batch["key"], "fit": list(state.at), "cost": state.sums[:, 0]})
 
     out = f"key {key}, fit array<double>, cost double"

@@ -72,3 +72,15 @@ def test_nulls_empty_tables_and_single_frames(spark):
     assert np.allclose(fits.fitted(dirty, start, CAMERA).first()["fit"], truth, atol=1e-5)
     one = fits.fitted(observed.limit(1), start, CAMERA, held=tuple(set(fits.PARAMETERS) - {"x", "y", "turn"})).first()
     assert np.isfinite(one["fit"]).all()
+
+
+def test_single_frames_never_end_above_their_start(spark):
+    truth, seen = planted(40, 6)
+    start = [[*truth[:3], *(truth[3:6] + 0.1), 1.05, 0.95]] * 40
+    rows = [(k, *map(float, r)) for k, r in enumerate(seen)]
+    observed = spark.createDataFrame(rows, "key long, x double, y double, turn double, left double, top double, right double, bottom double")
+    begun = spark.createDataFrame([(k, [float(x) for x in s]) for k, s in enumerate(start)], "key long, start array<double>")
+    found = sorted(fits.fitted(observed, begun, CAMERA, held=("width", "length", "height", "stretch_x", "stretch_y")).collect())
+    first = (fits.box_residuals(np.array(start), np.array(start)[:, 5], seen, CAMERA)[0] ** 2).sum(axis=1)
+    assert len(found) == 40 and all(r["cost"] <= f for r, f in zip(found, first, strict=True))
+    assert all(list(np.array(r["fit"])[[0, 1, 2, 6, 7]]) == [start[0][k] for k in (0, 1, 2, 6, 7)] for r in found)
