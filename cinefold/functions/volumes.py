@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import cos, sin
 
 import numpy as np
@@ -11,17 +12,24 @@ from pyspark.sql import functions as F
 from cinefold.functions.geometry import cross
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out a single time, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def placed(width: Column, length: Column, height: Column, x: Column, y: Column, turn: Column) -> Column:
     """The eight corners (x, y, z) of a volume that stands on the ground: four below, then four above, each in turn.
 
     Its length runs along x before it is turned, clockwise as seen from above; a footprint is a volume of no height.
     """
-    out = []
-    for up in (0.0, 1.0):
-        for a, b in ((-0.5, -0.5), (-0.5, 0.5), (0.5, 0.5), (0.5, -0.5)):
-            u, v = a * length, b * width
-            out.append(F.struct((x + F.cos(turn) * u + F.sin(turn) * v).alias("x"), (y - F.sin(turn) * u + F.cos(turn) * v).alias("y"), (up * height).alias("z")))
-    return F.array(*out)
+    facts = F.struct(width.alias("w"), length.alias("l"), height.alias("h"), x.alias("x"), y.alias("y"), F.cos(turn).alias("cos"), F.sin(turn).alias("sin"))
+    template = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(up).alias("up")) for up in (0.0, 1.0) for a, b in ((-0.5, -0.5), (-0.5, 0.5), (0.5, 0.5), (0.5, -0.5))])
+
+    def corner(f: Column, t: Column) -> Column:
+        u, v = t["a"] * f["l"], t["b"] * f["w"]
+        return F.struct((f["x"] + f["cos"] * u + f["sin"] * v).alias("x"), (f["y"] - f["sin"] * u + f["cos"] * v).alias("y"), (t["up"] * f["h"]).alias("z"))
+
+    return once(facts, lambda f: F.transform(template, lambda t: corner(f, t)))
 
 
 def seen(camera: np.ndarray, p: Column) -> Column:
@@ -32,9 +40,8 @@ def seen(camera: np.ndarray, p: Column) -> Column:
 
 def extent(camera: np.ndarray, corners: Column) -> Column:
     """(left, top, right, bottom) of corners in the image."""
-    flat = F.transform(corners, lambda p: seen(camera, p))
-    side = lambda f, c: f(F.transform(flat, lambda p: p[c]))
-    return F.struct(side(F.array_min, "x").alias("left"), side(F.array_min, "y").alias("top"), side(F.array_max, "x").alias("right"), side(F.array_max, "y").alias("bottom"))
+    sides = (("left", F.array_min, "x"), ("top", F.array_min, "y"), ("right", F.array_max, "x"), ("bottom", F.array_max, "y"))
+    return once(F.transform(corners, lambda p: seen(camera, p)), lambda flat: F.struct(*[f(F.transform(flat, lambda p: p[c])).alias(n) for n, f, c in sides]))  # noqa: B023
 
 
 def extent_loss(box: Column, other: Column) -> Column:

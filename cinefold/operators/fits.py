@@ -153,7 +153,7 @@ def fitted(observed: DataFrame, start: DataFrame, camera: np.ndarray, held: tupl
     """
     camera, free = np.asarray(camera, float), np.array([n not in held for n in PARAMETERS])
     key = dict(observed.dtypes)["key"]
-    rows = observed.select("key", *[F.col(c).cast("double").alias(c) for c in _SEEN]).dropna()
+    rows = settled(observed.select("key", *[F.col(c).cast("double").alias(c) for c in _SEEN])).dropna()
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).join(start.select("key", F.col("start").cast("array<double>").alias("start")), "key")
     rows = rows.join(sizes, "key").withColumn("piece", F.pmod(F.xxhash64(*_SEEN), F.ceil(F.col("n") / long)))
     # rows that are alike go to one piece, which bounds it only by how often a row is repeated
