@@ -38,7 +38,7 @@ def range_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(cost.top_transitions(_matrix(spark, sf_dir), 100, 400, 10, 50))
+    return _round(cost.top_transitions(distance.jumps(frames(spark, sf_dir), 100, 400, 10), 100, 400, 10, 50))
 
 
 def frame_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
