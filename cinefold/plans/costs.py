@@ -82,8 +82,7 @@ def future_cost_fixed_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geodesic_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    far = _matrix(spark, sf_dir).withColumn("value", F.pow("value", F.lit(4.0)))
-    return _round(inference.shortest(far, 0, 3))
+    return _round(inference.shortest_between(frames(spark, sf_dir), lambda d: d**4, 0, 3))
 
 
 def compat_labelprob(spark: SparkSession, sf_dir: str) -> DataFrame:
