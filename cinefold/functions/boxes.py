@@ -81,17 +81,27 @@ def line_hits(rows: DataFrame, line: tuple[Column, Column], segments: Column) ->
 def grid_points(triangles: DataFrame, spacing: float = 1.0) -> DataFrame:
     """(key, x, y): points of a grid that lie in any triangle of a key's (key, a, b, c) rows.
 
-    The grid runs over the bounds of all the key's corners, rounded away from zero, both ends included.
+    The grid runs over the bounds of all the key's corners, rounded away from zero, both ends included. A triangle looks
+    only at the grid's points about its own bounds, in its own row; its key's bounds come by a merge, so nothing is
+    sent through the driver.
     """
     corner = F.explode(F.array("a", "b", "c"))
     away = lambda c: F.when(c > 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.ceil(F.abs(c))
     bounds = triangles.select("key", corner.alias("p")).groupBy("key").agg(*[f(f"p.{c}").alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))])
-    steps = lambda c: F.explode(F.sequence(F.lit(0), F.floor((away(F.col(f"high_{c}")) - away(F.col(f"low_{c}"))) / spacing).cast("int")))
-    grid = bounds.withColumn("i", steps("x")).withColumn("j", steps("y"))
-    grid = grid.select("key", (away(F.col("low_x")) + spacing * F.col("i")).alias("x"), (away(F.col("low_y")) + spacing * F.col("j")).alias("y"))
+    bounds = bounds.select("key", *[away(F.col(f"low_{c}")).alias(f"from_{c}") for c in "xy"], *[F.floor((away(F.col(f"high_{c}")) - away(F.col(f"low_{c}"))) / spacing).cast("int").alias(f"last_{c}") for c in "xy"])
+
+    def steps(c: str) -> Column:
+        """Numbers of the grid's lines about a triangle, one more on either side for what rounding may do."""
+        ends = [F.col(f"{p}.{c}") for p in "abc"]
+        low, high = (F.floor((f(*ends) - F.col(f"from_{c}")) / spacing) for f in (F.least, F.greatest))
+        first, last = F.greatest(low - 1, F.lit(0)).cast("int"), F.least(high + 2, F.col(f"last_{c}")).cast("int")
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    met = triangles.select("key", "a", "b", "c").join(bounds.hint("merge"), "key").withColumn("i", steps("x")).withColumn("j", steps("y"))
+    met = met.select("key", "a", "b", "c", *[(F.col(f"from_{c}") + spacing * F.col(n)).alias(c) for c, n in (("x", "i"), ("y", "j"))])
     of = lambda c: (F.col(f"{c}.x"), F.col(f"{c}.y"))
     inside = in_triangle((F.col("x"), F.col("y")), of("a"), of("b"), of("c"))
-    return grid.join(triangles, "key").where(inside).select("key", "x", "y").distinct()
+    return met.where(inside).select("key", "x", "y").distinct()
 
 
 def edge_samples(box: str, parts: int) -> Column:
