@@ -12,6 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinefold.operators.cost import FORBIDDEN
+from cinefold.operators.distance import TASKS
+from cinefold.session import settled
+
+#: Cells of a matrix of moves that are worked out at a time.
+_CELLS = 1 << 21
 
 
 def chain_unaries(semantics: DataFrame, wanted: DataFrame, length: int, start: int | None = None, variance: float = 0.001) -> DataFrame:
@@ -34,14 +39,18 @@ def chain_unaries(semantics: DataFrame, wanted: DataFrame, length: int, start: i
     return out.select("key", "t", "frame", cost.alias("cost"))
 
 
-def chain_moves(frames: DataFrame) -> DataFrame:
+def chain_moves(frames: DataFrame, block: int = 512) -> DataFrame:
     """(key, i, j, cost) over (key, frame) with frames from 0: on to the next frame, waiting at the empty frame 0, and from
     the last to the first shown frame or to the empty one are free, all else is forbidden."""
-    last = F.max("frame").over(W.partitionBy("key"))
-    side = lambda c: frames.select("key", F.col("frame").alias(c))
-    ends = frames.select("key", F.col("frame").alias("i"), last.alias("last"))
+    blocks = settled(frames.groupBy("key", F.floor(F.col("frame") / block).alias("b")).agg(F.collect_list("frame").alias("ids")))
+    last = blocks.groupBy("key").agg(F.max(F.array_max("ids")).alias("last"))
+    side = lambda c: blocks.select("key", F.col("b").alias(f"b{c}"), F.col("ids").alias(f"{c}s"))
+    # Two blocks are a unit with a task of its own; a key's frames would make one task of their square.
+    units = side("i").join(last, "key").join(side("j"), "key")
+    units = units.repartition(min(TASKS, max(1, 2 * units.count())), "key", "bi", "bj")
+    cells = units.select("key", "last", F.explode("is").alias("i"), "js").select("key", "last", "i", F.explode("js").alias("j"))
     free = (F.col("j") == F.col("i") + 1) | ((F.col("i") == 0) & (F.col("j") == 0)) | ((F.col("i") == F.col("last")) & F.col("j").isin(0, 1))
-    return ends.join(side("j"), "key").select("key", "i", "j", F.when(free, 0.0).otherwise(FORBIDDEN).alias("cost"))
+    return cells.select("key", "i", "j", F.when(free, 0.0).otherwise(FORBIDDEN).alias("cost"))
 
 
 def likelihood_costs(semantics: DataFrame, wanted: DataFrame, variance: float, start: Column | None = None, banned: DataFrame | None = None) -> DataFrame:
@@ -59,33 +68,77 @@ def likelihood_costs(semantics: DataFrame, wanted: DataFrame, variance: float, s
     return met.join(held, ["key", "t", "frame"], "left").withColumn("cost", F.when(F.col("_banned"), FORBIDDEN).otherwise(F.col("cost"))).drop("_banned")
 
 
-def paths(unaries: DataFrame, moves: DataFrame) -> DataFrame:
-    """(key, t, frame, energy): each key's frames of least cost, first frame at ties.
+def _least(costs: pd.DataFrame, onward: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """(t, frame, energy) of the least path through a table of costs, times by frames; ``onward`` gives every frame's least way from
+    what the frames cost so far, and where it comes from."""
+    rows, back = costs.to_numpy(), []
+    best = rows[0]
+    for row in rows[1:]:
+        least, came = onward(best)
+        back.append(came)
+        best = least + row
+    at = [int(best.argmin())]
+    for b in reversed(back):
+        at.append(int(b[at[-1]]))
+    return pd.DataFrame({"t": costs.index, "frame": costs.columns.to_numpy()[at[::-1]], "energy": float(best.min())})
 
-    ``unaries`` has (key, t, frame, cost) for all frames and times, ``moves`` (key, i, j, cost). A key's matrix of moves
-    and its costs are one unit, as large as the square of its frames.
-    """
+
+def _along(unaries: DataFrame, other: DataFrame, moving: Callable[[np.ndarray, pd.DataFrame], Callable]) -> DataFrame:
     key = dict(unaries.dtypes)["key"]
 
-    def unit(_: tuple, own: pd.DataFrame, move: pd.DataFrame) -> pd.DataFrame:
+    def unit(_: tuple, own: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame({"key": [], "t": [], "frame": [], "energy": []}).astype({"t": "int64", "frame": "int64", "energy": "float64"})
         costs = own.pivot(index="t", columns="frame", values="cost")
-        frames = costs.columns.to_numpy()
+        found = _least(costs, moving(costs.columns.to_numpy(), side))
+        return found.assign(key=own["key"].iloc[0])[["key", "t", "frame", "energy"]]
+
+    return unaries.groupBy("key").cogroup(other.groupBy("key")).applyInPandas(unit, f"key {key}, t long, frame long, energy double")
+
+
+def paths(unaries: DataFrame, moves: DataFrame) -> DataFrame:
+    """(key, t, frame, energy): each key's frames of least cost, first frame at ties.
+
+    ``unaries`` has (key, t, frame, cost) for all frames and times, ``moves`` (key, i, j, cost). A key's matrix of moves
+    and its costs are one unit, as large as the square of its frames; ``paths_between`` holds no matrix.
+    """
+
+    def moving(frames: np.ndarray, move: pd.DataFrame) -> Callable:
         table = np.full((len(frames), len(frames)), np.inf)
         table[np.searchsorted(frames, move["i"]), np.searchsorted(frames, move["j"])] = move["cost"]
-        rows = costs.to_numpy()
-        best, back = rows[0], []
-        for row in rows[1:]:
+
+        def onward(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             step = best[:, None] + table
-            back.append(step.argmin(axis=0))
-            best = step.min(axis=0) + row
-        at = [int(best.argmin())]
-        for b in reversed(back):
-            at.append(int(b[at[-1]]))
-        return pd.DataFrame({"key": own["key"].iloc[0], "t": costs.index, "frame": frames[at[::-1]], "energy": float(best.min())})
-
-    return unaries.groupBy("key").cogroup(moves.groupBy("key")).applyInPandas(unit, f"key {key}, t long, frame long, energy double")
+            return step.min(axis=0), step.argmin(axis=0)
+
+        return onward
+
+    return _along(unaries, moves, moving)
+
+
+def paths_between(unaries: DataFrame, values: DataFrame, move: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``paths`` where moves cost what ``move(i, value of i, j, value of j)`` says of some frames i (columns) and j (rows).
+
+    ``values`` are (key, frame, value). Costs of moves are worked out at each time, some frames at a time, so a key's unit
+    is as large as its costs, and no pair of frames is written or shuffled.
+    """
+
+    def moving(frames: np.ndarray, own: pd.DataFrame) -> Callable:
+        value = own.set_index("frame")["value"].reindex(frames).to_numpy()
+        size = max(1, _CELLS // len(frames))
+
+        def onward(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            least, came = np.empty(len(frames)), np.empty(len(frames), np.int64)
+            for k in range(0, len(frames), size):
+                step = move(frames[None], value[None], frames[k : k + size, None], value[k : k + size, None])
+                step = step + best[None]
+                at = step.argmin(axis=1)
+                came[k : k + size], least[k : k + size] = at, step[np.arange(len(at)), at]
+            return least, came
+
+        return onward
+
+    return _along(unaries, values, moving)
 
 
 def tail_aligned(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
