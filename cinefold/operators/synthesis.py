@@ -148,12 +148,13 @@ def tail_aligned(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     as long as one of them has frames left; times at which a frame is negative or past its sequence's end are dropped. A
     pair that shows a negative frame at every time gives nothing.
     """
-    shown = pairs.groupBy("key").agg(F.max((F.col("a") >= 0) & (F.col("b") >= 0)).alias("any"), F.max_by(F.struct("t", "a", "b"), "t").alias("last"))
-    ends = shown.where("any").join(lengths, "key")
-    more = F.greatest(F.col("a_length") - F.col("last.a"), F.col("b_length") - F.col("last.b")) - 1
-    run = ends.where(more > 0).select("key", "last", F.explode(F.sequence(F.lit(1), more.cast("int"))).alias("k"))
-    tail = run.select("key", *[(F.col(f"last.{c}") + F.col("k")).alias(c) for c in ("t", "a", "b")])
-    whole = pairs.join(ends.select("key"), "key", "left_semi").select("key", "t", "a", "b").unionByName(tail).join(lengths, "key")
+    rows = pairs.select("key", "t", "a", "b").join(lengths, "key")
+    own = W.partitionBy("key").orderBy("t")
+    rows = rows.withColumns({"_any": F.max((F.col("a") >= 0) & (F.col("b") >= 0)).over(W.partitionBy("key")), "_last": F.lead("key").over(own).isNull()})
+    more = F.when(F.col("_last"), F.greatest(F.col("a_length") - F.col("a"), F.col("b_length") - F.col("b")) - 1).otherwise(0)
+    # a row stands for itself, and the last one for what comes after it too
+    each = rows.where("_any").withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(more, F.lit(0)).cast("int"))))
+    whole = each.select("key", *[(F.col(c) + F.col("_k")).alias(c) for c in ("t", "a", "b")], "a_length", "b_length")
     return whole.where("a >= 0 AND b >= 0 AND a < a_length AND b < b_length").select("key", "t", "a", "b")
 
 
