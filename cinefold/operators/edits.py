@@ -7,7 +7,7 @@ from math import exp, pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinefold.operators.distance import squared
+from cinefold.operators.distance import linked
 from cinefold.operators.graph import components
 
 _BOX = ("key", "frame", "x", "y", "angle", "path")
@@ -81,6 +81,5 @@ def blurred(bins: DataFrame, width: int, height: int, border: int, sigma: float)
 
 def single_link(frames: DataFrame, limit: float) -> DataFrame:
     """(frame, cluster): the smallest frame that steps of a squared distance of at most ``limit`` reach."""
-    near = squared(frames, frames).where((F.col("i") < F.col("j")) & (F.col("d2") <= limit))
-    member = components(near.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    member = components(linked(frames, limit))
     return frames.select("frame").join(member.withColumnRenamed("node", "frame"), "frame", "left").select("frame", F.coalesce("component", "frame").alias("cluster"))
