@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinefold.session import settled
+from cinefold.session import settled, small_batches
 
 #: Rows and columns of a tile, and units of capacity in one of cost: cuts are exact in whole units.
 TILE, UNITS = (64, 64), 1_000_000
@@ -23,6 +23,8 @@ FORBIDDEN = 1e7
 FAR = 1 << 40
 #: Pushes between two exact relabellings of a tile.
 PUSHES = 24
+#: Bytes of tiles that Python gets at a time: some fifteen, as each takes several times its bytes there.
+BYTES = 4 << 20
 
 #: Sides of a tile: up, down, left, right; and the side that is opposite.
 _SIDES, _OPPOSITE = ((-1, 0), (1, 0), (0, -1), (0, 1)), (1, 0, 3, 2)
@@ -152,7 +154,8 @@ def _step(tiles: DataFrame, messages: DataFrame | None, turn: Column) -> DataFra
         given = tiles.withColumn("got", F.lit(None).cast("array<struct<side:int,labels:array<long>,flow:array<long>>>"))
     else:
         given = tiles.join(messages.groupBy(*_KEY).agg(F.collect_list("message").alias("got")), _KEY, "left")
-    return settled(given.select(*_KEY, work("state", "got", turn).alias("x")).select(*_KEY, "x.*"))
+    with small_batches(tiles.sparkSession, BYTES):
+        return settled(given.select(*_KEY, work("state", "got", turn).alias("x")).select(*_KEY, "x.*"))
 
 
 def _messages(tiles: DataFrame) -> DataFrame:
@@ -193,7 +196,8 @@ def _tiles(pixels: DataFrame, tile: tuple[int, int]) -> DataFrame:
 
     pack = F.pandas_udf(packed, _STATE)
     grouped = placed.groupBy("key", "ty", "tx").agg(F.collect_list(cell).alias("cells"))
-    return settled(grouped.select("key", "ty", "tx", pack("cells").alias("state")))
+    with small_batches(pixels.sparkSession, BYTES):
+        return settled(grouped.select("key", "ty", "tx", pack("cells").alias("state")))
 
 
 def min_cut(pixels: DataFrame, tile: tuple[int, int] = TILE) -> tuple[DataFrame, DataFrame]:
