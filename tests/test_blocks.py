@@ -60,3 +60,17 @@ def test_rows_of_different_lengths_are_an_error(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "frame long, pixels array<double>")
     with pytest.raises(Exception, match="components"):
         distance.squared(rows, rows).count()
+
+
+def test_nearest_looks_at_few_pairs_and_fewer_once_some_are_known():
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(100, 8)), rng.normal(size=(3000, 8))
+    sides = [distance.Side(np.arange(len(v)) + at, v.ravel(), [], [8]) for v, at in ((x, 0), (y, 1000))]
+    d = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    looked = {}
+    for name, known in (("open", np.full(100, np.inf)), ("known", np.sort(d, axis=1)[:, 1])):
+        pairs = [np.concatenate(p) for p in zip(*distance._candidates(*sides, 3, False, known), strict=True)]
+        looked[name] = set(zip(*map(np.ndarray.tolist, pairs), strict=True))
+    assert all((r, c) in looked["open"] for r in range(100) for c in np.argsort(d[r])[:3])
+    assert all((r, c) in looked["known"] for r in range(100) for c in np.argsort(d[r])[:2])
+    assert len(looked["known"]) < len(looked["open"]) < 100 * 12
