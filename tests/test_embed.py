@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from cinefold.operators import embed
+from cinefold.operators import distance, embed
 
 
 def full_gradient(y: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -81,3 +81,36 @@ def test_stress_falls_to_the_planted_distances(spark):
     record, points = embed.stress_rounds(start, spark.createDataFrame(pairs, "i long, j long, target double, weight double"), 8)
     assert all(b <= a + 1e-12 for a, b in zip(record, record[1:], strict=False)) and record[-1] < record[0] / 10
     assert points.where("i = 99").collect() == [(99, 5.0, 5.0)]
+
+
+def test_exact_repulsion_needs_no_tree_and_has_tasks_of_its_own(spark, monkeypatch):
+    y, _ = planted(300, 6)
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(y)], "i long, x double, y double")
+    monkeypatch.setattr(embed, "quadtree", None)
+    tasks = []
+    packed = distance._folded
+    monkeypatch.setattr(distance, "_folded", lambda sides, fold, schema, count: tasks.append(count) or packed(sides, fold, schema, count))
+    found = embed.repulsion(points, 0.0).collect()
+    assert tasks[0] > 1 and sum(r["n"] for r in found) == 300
+    gaps = y[:, None] - y[None]
+    q = 1 / (1 + (gaps**2).sum(axis=2))
+    at = {tuple(v): k for k, v in enumerate(y)}
+    for r in found:
+        k = at[r["x"], r["y"]]
+        assert np.allclose([r["z"], r["fx"], r["fy"]], [q[k].sum() - 1, *(q[k][:, None] ** 2 * gaps[k]).sum(axis=0)], atol=1e-9)
+
+
+def test_deep_levels_are_made_of_open_cells_alone(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    y = np.concatenate((rng.random((200, 2)), 0.5 + 1e-5 * rng.random((60, 2))))
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(y)], "i long, x double, y double")
+    made, levels = [], embed._at_levels
+
+    def counted(places, first, last):
+        made.append(places.count() * (last - first + 1))
+        return levels(places, first, last)
+
+    monkeypatch.setattr(embed, "_at_levels", counted)
+    tree, members, _ = embed.quadtree(points, 8)
+    assert sum(made) < 260 * 16
+    assert sum(r["n"] for r in tree.where("not open").collect()) == 260 == members.count()
