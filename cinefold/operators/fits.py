@@ -6,7 +6,7 @@ The problem solved here is a box volume that moves along a track and should fill
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -40,19 +40,18 @@ def box_residuals(parameters: np.ndarray, first_turn: np.ndarray, seen: np.ndarr
     back = turn - first_turn[:, None]
     along, across = np.cos(back) * x + np.sin(back) * y, np.cos(back) * y - np.sin(back) * x
     u, v = a * long, b * wide
-    n, zero, one = len(seen), np.zeros((len(seen), 8)), np.ones((len(seen), 8))
-    place = np.stack((cos * u + sin * v + px + along * sx, cos * v - sin * u + py + across * sy, c * high, one), axis=1)
-    slopes = np.zeros((n, 4, 8, 8))  # row, coordinate, parameter, corner
-    slopes[:, 0] = np.stack((sin * b, cos * a, zero, one, zero, cos * v - sin * u + across * sx, along * one, zero), axis=1)
-    slopes[:, 1] = np.stack((cos * b, -sin * a, zero, zero, one, -cos * u - sin * v - along * sy, zero, across * one), axis=1)
-    slopes[:, 2, 2] = c
-    image = np.einsum("rc,nck->nrk", camera, place)
-    moved = np.einsum("rc,ncpk->nrpk", camera, slopes)
-    flat = image[:, :2] / image[:, 2:]
-    bent = (moved[:, :2] - flat[:, :, None] * moved[:, 2:]) / image[:, 2:, None]
-    pick = np.concatenate((flat.argmin(axis=2), flat.argmax(axis=2)), axis=1)  # left, top, right, bottom
-    axis, row = np.array([0, 1, 0, 1]), np.arange(n)[:, None]
-    return flat[row, axis, pick] - seen[:, 3:], bent[row, axis, :, pick]
+    place = cos * u + sin * v + (px + along * sx), cos * v - sin * u + (py + across * sy), c * high
+    image = [sum(m * p for m, p in zip(r, place, strict=False)) + r[3] for r in camera]
+    flat = [image[k] / image[2] for k in (0, 1)]
+    pick = np.stack([f(flat[k], axis=1) for f in (np.argmin, np.argmax) for k in (0, 1)], axis=1)  # left, top, right, bottom
+    axis, row = np.array([0, 1, 0, 1]), np.arange(len(seen))[:, None]
+    side = np.stack([flat[k][row[:, 0], pick[:, n]] for n, k in enumerate(axis)], axis=1)
+    # how a side follows its corner's place, then how that follows the parameters
+    gx, gy, gz = ((camera[axis, k] - side * camera[2, k]) / image[2][row, pick] for k in range(3))
+    a, b, c = a[pick], b[pick], c[pick]
+    u, v = a * long, b * wide
+    turned = gx * (cos * v - sin * u + across * sx) - gy * (cos * u + sin * v + along * sy)
+    return side - seen[:, 3:], np.stack((b * (gx * sin + gy * cos), a * (gx * cos - gy * sin), gz * c, gx, gy, turned, gx * along, gy * across), axis=2)
 
 
 def shape_residuals(parameters: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +67,7 @@ def summed(residuals: np.ndarray, slopes: np.ndarray, owner: np.ndarray, count:
     """(count, 1 + p + p p): each problem's cost, slope and curvature, from rows that name their problem, one after the other."""
     cost = (residuals**2).sum(axis=1)[:, None]
     slope = np.einsum("nr,nrp->np", residuals, slopes)
-    curve = np.einsum("nrp,nrq->npq", slopes, slopes).reshape(len(slopes), -1)
+    curve = np.matmul(slopes.transpose(0, 2, 1), slopes).reshape(len(slopes), -1)
     out = np.zeros((count, 1 + slope.shape[1] + curve.shape[1]))
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     out[owner[starts]] = np.add.reduceat(np.hstack((cost, slope, curve)), starts, axis=0)
@@ -90,6 +89,13 @@ class Descent:
         n, p = start.shape
         return cls(start.copy(), np.full((n, 1 + p + p * p), np.inf), np.full(n, DAMPING), start.copy(), np.zeros(n, bool))
 
+    def of(self, some: np.ndarray) -> Descent:
+        return Descent(*(getattr(self, f.name)[some] for f in fields(self)))
+
+    def put(self, some: np.ndarray, other: Descent) -> None:
+        for f in fields(self):
+            getattr(self, f.name)[some] = getattr(other, f.name)
+
     def advance(self, sums: np.ndarray, free: np.ndarray, tolerance: float) -> None:
         """Takes the trials that lower the cost, damps the others more, and sets the next trials (Levenberg and Marquardt).
 
@@ -117,25 +123,71 @@ def minimised(start: np.ndarray, sums: Callable[[np.ndarray, np.ndarray], np.nda
         live = np.flatnonzero(~state.done)
         if not len(live):
             break
-        total = state.sums.copy()
-        total[live] = sums(state.trial[live], live)
-        state.advance(total, free, tolerance)
+        going = state if len(live) == len(start) else state.of(live)
+        going.advance(sums(going.trial, live), free, tolerance)
+        if going is not state:
+            state.put(live, going)
     return state
 
 
-def _piece_sums(trial: np.ndarray, first: np.ndarray, pieces: list[np.ndarray], camera: np.ndarray) -> np.ndarray:
-    """The sums of each piece's boxes, some thousand rows at a time."""
-    p, sizes = trial.shape[1], np.array([len(s) for s in pieces])
-    out, rows, owner = np.zeros((len(pieces), 1 + p + p * p)), np.concatenate(pieces), np.repeat(np.arange(len(pieces)), sizes)
+def _piece_sums(trial: np.ndarray, first: np.ndarray, rows: np.ndarray, owner: np.ndarray, camera: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The sums of each piece's boxes over the parameters that are free, some thousand rows at a time; rows stand piece by piece."""
+    p = free.sum()
+    out = np.zeros((len(trial), 1 + p + p * p))
     for k in range(0, len(rows), TOGETHER):
         own = owner[k : k + TOGETHER]
-        low = own[0] if len(own) else 0
-        out[low : own[-1] + 1] += summed(*box_residuals(trial[own], first[own], rows[k : k + TOGETHER], camera), own - low, own[-1] + 1 - low)
+        low = own[0]
+        residuals, slopes = box_residuals(trial[own], first[own], rows[k : k + TOGETHER], camera)
+        out[low : own[-1] + 1] += summed(residuals, slopes[:, :, free], own - low, own[-1] + 1 - low)
     return out
 
 
-def _prior_sums(trial: np.ndarray, weight: float) -> np.ndarray:
-    return summed(*shape_residuals(trial, weight), np.arange(len(trial)), len(trial))
+def _solved(begin: np.ndarray, rows: np.ndarray, owner: np.ndarray, camera: np.ndarray, free: np.ndarray, prior: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters, cost) of many problems at once; held parameters stay out of the steps."""
+
+    def sums(trial: np.ndarray, live: np.ndarray) -> np.ndarray:
+        at = begin[live]
+        at[:, free] = trial
+        if len(live) == len(begin):
+            mine, own = rows, owner
+        else:
+            number = np.full(len(begin), -1)
+            number[live] = np.arange(len(live))
+            there = number[owner] >= 0
+            mine, own = rows[there], number[owner[there]]
+        found = _piece_sums(at, begin[live, 5], mine, own, camera, free)
+        return found + _prior_sums(at, prior, free) if prior else found
+
+    state = minimised(begin[:, free], sums, np.ones(free.sum(), bool), rounds, tolerance)
+    at = begin.copy()
+    at[:, free] = state.at
+    return at, state.sums[:, 0]
+
+
+def _prior_sums(trial: np.ndarray, weight: float, free: np.ndarray) -> np.ndarray:
+    residuals, slopes = shape_residuals(trial, weight)
+    return summed(residuals, slopes[:, :, free], np.arange(len(trial)), len(trial))
+
+
+def refined(rows: DataFrame, camera: np.ndarray, keep: list[str], held: tuple[str, ...] = (), prior: float = 0.0, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """(``keep``, fit, cost): ``fitted`` where every row is a problem of its own, which brings its start along.
+
+    ``rows`` are (x, y, turn, left, top, right, bottom, start) beside the columns to be kept. Rows with a null are left out;
+    nothing is shuffled.
+    """
+    camera, free = np.asarray(camera, float), np.array([n not in held for n in PARAMETERS])
+    seen = [f"_{c}" for c in _SEEN]
+    wanted = rows.select(*keep, F.col("start").cast("array<double>").alias("_start"), *[F.col(c).cast("double").alias(f"_{c}") for c in _SEEN])
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch[["_start", *seen]].notna().all(axis=1)]  # here, as a filter below would work all boxes out twice
+            if len(batch):
+                at, cost = _solved(np.stack(batch["_start"].to_numpy()).astype(float), batch[seen].to_numpy(float), np.arange(len(batch)), camera, free, prior, rounds, tolerance)
+                yield batch[keep].assign(fit=list(at), cost=cost)
+
+    kinds = dict(wanted.dtypes)
+    return wanted.mapInPandas(solved, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "fit array<double>", "cost double"]))
 
 
 def fitted(observed: DataFrame, start: DataFrame, camera: np.ndarray, held: tuple[str, ...] = (), prior: float = 0.0, rounds: int = 200, tolerance: float = 1e-9, long: int = LONG) -> DataFrame:
@@ -159,15 +211,18 @@ def fitted(observed: DataFrame, start: DataFrame, camera: np.ndarray, held: tupl
     # rows that are alike go to one piece, which bounds it only by how often a row is repeated
     # so many partitions as named, as the work of a row is far beyond its size
     rows = rows.repartition(int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "piece")
-    pieces = settled(rows.groupBy("key", "piece", "n", "start").agg(F.collect_list(F.array(*_SEEN)).alias("seen")))
-    tracks = lambda batch: [np.array(s.tolist() if isinstance(s, np.ndarray) else s, float).reshape(-1, len(_SEEN)) for s in batch["seen"]]
+    pieces = settled(rows.groupBy("key", "piece", "n", "start").agg(F.flatten(F.collect_list(F.array(*_SEEN))).alias("seen")))
+
+    def tracks(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """All boxes of a batch and the number of the piece that each belongs to."""
+        seen = [np.asarray(s, float).reshape(-1, len(_SEEN)) for s in batch["seen"]]
+        return np.concatenate(seen), np.repeat(np.arange(len(seen)), [len(s) for s in seen])
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                begin, seen = np.array(batch["start"].tolist(), float), tracks(batch)
-                state = minimised(begin, lambda p, live: _piece_sums(p, begin[live, 5], [seen[k] for k in live], camera) + _prior_sums(p, prior), free, rounds, tolerance)  # noqa: B023
-                yield pd.DataFrame({"key": batch["key"], "fit": list(state.at), "cost": state.sums[:, 0]})
+                at, cost = _solved(np.array(batch["start"].tolist(), float), *tracks(batch), camera, free, prior, rounds, tolerance)
+                yield pd.DataFrame({"key": batch["key"], "fit": list(at), "cost": cost})
 
     out = f"key {key}, fit array<double>, cost double"
     short = pieces.where(F.col("n") <= long).select("key", "start", "seen").mapInPandas(solved, out)
@@ -179,8 +234,8 @@ def fitted(observed: DataFrame, start: DataFrame, camera: np.ndarray, held: tupl
 
 def _by_pieces(parts: DataFrame, key: str, tracks: Callable, camera: np.ndarray, free: np.ndarray, prior: float, rounds: int, tolerance: float) -> DataFrame:
     """(key, fit, cost) of keys in several pieces; a key's state is one row, settled every round."""
-    fields = ("at", "sums", "trial")
-    width = 1 + len(PARAMETERS) + len(PARAMETERS) ** 2
+    kept = ("at", "sums", "trial")
+    width, every = 1 + len(PARAMETERS) + len(PARAMETERS) ** 2, np.ones(len(PARAMETERS), bool)
     kinds = "first double, at array<double>, sums array<double>, damping double, trial array<double>, done boolean"
 
     def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,14 +250,14 @@ def _by_pieces(parts: DataFrame, key: str, tracks: Callable, camera: np.ndarray,
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"key": batch["key"], "part": list(_piece_sums(np.array(batch["trial"].tolist(), float), batch["first"].to_numpy(), tracks(batch), camera))})
+                yield pd.DataFrame({"key": batch["key"], "part": list(_piece_sums(np.array(batch["trial"].tolist(), float), batch["first"].to_numpy(), *tracks(batch), camera, every))})
 
     def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                at, sums, trial = (np.array(batch[c].tolist(), float) for c in fields)
+                at, sums, trial = (np.array(batch[c].tolist(), float) for c in kept)
                 state = Descent(at, sums, batch["damping"].to_numpy(float), trial, batch["done"].to_numpy(bool).copy())
-                state.advance(np.array(batch["total"].tolist(), float) + _prior_sums(trial, prior), free, tolerance)
+                state.advance(np.array(batch["total"].tolist(), float) + _prior_sums(trial, prior, every), free, tolerance)
                 yield packed(batch["key"], batch["first"].to_numpy(), state)
 
     states = settled(parts.select("key", "start").distinct().mapInPandas(begun, f"key {key}, {kinds}"))

@@ -28,9 +28,15 @@ def _duck(expression: str) -> str:
 
 def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's lines as a track: price along, quantity across, discount as the turn; with the supplier's own volume."""
-    lines = table(spark, sf_dir, "lineitem")
-    rows = lines.select(
+    return _planted(_places(spark, sf_dir))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("key"), (F.col("l_quantity").cast("double") / 10).alias("x"), (F.col("l_extendedprice").cast("double") / 20000).alias("y"), (F.col("l_discount").cast("double") * 10).alias("turn"))
+
+
+def _planted(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"own_{n}": F.expr(e.replace("k ", "key ")) for n, e in zip(fits.PARAMETERS, PLANTED, strict=True)})
 
 
@@ -43,7 +49,10 @@ def _box(size: dict) -> F.Column:
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _track(spark, sf_dir)
+    return _seen_in(_track(spark, sf_dir))
+
+
+def _seen_in(rows: DataFrame) -> DataFrame:
     return rows.withColumn("box", _box({n: F.col(f"own_{n}") for n in fits.PARAMETERS}))
 
 
@@ -60,15 +69,14 @@ def frame_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     Four sides and three unknowns: where other corners make a box's sides, a descent may end beside the truth.
     """
     off = 0.1
-    rows = _observed(spark, sf_dir).withColumn("at", F.struct(F.col("key").alias("supplier"), "x", "y", "turn")).dropDuplicates(["at"])
+    rows = _seen_in(_planted(_places(spark, sf_dir).distinct()))
     size = {n: F.col(f"own_{n}") for n in fits.PARAMETERS}
     turn = size["turn"]
     there = {"x": size["x"] + (F.cos(turn) * F.col("x") + F.sin(turn) * F.col("y")) * size["stretch_x"], "y": size["y"] + (F.cos(turn) * F.col("y") - F.sin(turn) * F.col("x")) * size["stretch_y"], "turn": turn + F.col("turn")}
-    rows = rows.select(F.concat_ws(":", *[F.col(f"at.{c}").cast("string") for c in ("supplier", "x", "y", "turn")]).alias("key"), F.col("at.supplier").alias("supplier"), *[F.lit(0.0).alias(c) for c in ("x", "y", "turn")], "box.*",
+    rows = rows.select("key", *[F.lit(0.0).alias(c) for c in ("x", "y", "turn")], "box.*",
                        F.array(*[there[n] + off if n in there else F.lit(1.0) if "stretch" in n else size[n] for n in fits.PARAMETERS]).alias("start"))
-    found = fits.fitted(rows, rows.select("key", "start"), CAMERA, held=("width", "length", "height", "stretch_x", "stretch_y"))
-    moved = found.join(rows.select("key", "supplier", "start"), "key")
-    return moved.groupBy(F.col("supplier").alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("cost") < 1e-6).alias("met"))
+    found = fits.refined(rows, CAMERA, ["key"], held=("width", "length", "height", "stretch_x", "stretch_y"))
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("cost") < 1e-6).alias("met"))
 
 
 def track_loss(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from cinefold.functions.geometry import look_at
 from cinefold.operators import fits
+from pyspark.sql import functions as F
 
 CAMERA = look_at((2.5, -12.0, 9.0), (2.5, 3.0, 0.0), 900.0, (640.0, 360.0))
 
@@ -84,3 +85,31 @@ def test_single_frames_never_end_above_their_start(spark):
     first = (fits.box_residuals(np.array(start), np.array(start)[:, 5], seen, CAMERA)[0] ** 2).sum(axis=1)
     assert len(found) == 40 and all(r["cost"] <= f for r, f in zip(found, first, strict=True))
     assert all(list(np.array(r["fit"])[[0, 1, 2, 6, 7]]) == [start[0][k] for k in (0, 1, 2, 6, 7)] for r in found)
+
+
+def test_rows_refined_where_they_are_equal_keys_fitted(spark):
+    truth, seen = planted(30, 6)
+    start = [float(v) for v in [*truth[:3], *(truth[3:6] + 0.1), 1.05, 0.95]]
+    rows = spark.createDataFrame([(k, start, *map(float, r)) for k, r in enumerate(seen)], "key long, start array<double>, x double, y double, turn double, left double, top double, right double, bottom double")
+    held = ("width", "length", "height", "stretch_x", "stretch_y")
+    dirty = rows.unionByName(rows.limit(1).withColumn("x", F.lit(None).cast("double")))
+    found = fits.refined(dirty, CAMERA, ["key"], held=held)
+    assert "Exchange" not in fits.refined(rows, CAMERA, ["key"], held=held)._jdf.queryExecution().executedPlan().toString()
+    want = {r["key"]: r for r in fits.fitted(rows.drop("start"), rows.select("key", "start"), CAMERA, held=held).collect()}
+    got = found.collect()
+    assert len(got) == len(want) == 30
+    for r in got:
+        assert np.allclose(r["fit"], want[r["key"]]["fit"], atol=1e-7) and abs(r["cost"] - want[r["key"]]["cost"]) < 1e-6
+
+
+def test_slopes_of_a_row_need_no_table_of_corners():
+    """A row's slopes are those of the four corners that make its sides, not of all eight by all coordinates."""
+    import tracemalloc
+
+    truth, seen = planted(4000, 5)
+    at = np.tile(truth, (4000, 1))
+    tracemalloc.start()
+    fits.box_residuals(at, np.zeros(4000), seen, CAMERA)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 8 * 256
