@@ -21,6 +21,8 @@ from cinefold.session import settled
 #: Rounds of steps at most, the gap between energy and bound at which a key is done, and what a step shrinks by when the
 #: bound hasn't risen.
 ROUNDS, GAP, SHRINK = 80, 1e-6, 0.9
+#: Times of graphs that take their rounds together.
+TOGETHER = 1 << 14
 
 
 def _pairs(instances: int) -> list[tuple[int, int]]:
@@ -62,17 +64,19 @@ def _energy(costs: np.ndarray, labels: np.ndarray, move: np.ndarray, clash: np.n
     return out + sum(clash[labels[i], labels[j]].sum() for i, j in _pairs(len(labels)))
 
 
-def _path(costs: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray]:
-    """A chain's least cost and its first labels."""
-    best, back = costs[0], []
-    for row in costs[1:]:
-        step = best[:, None] + move
-        back.append(step.argmin(axis=0))
-        best = step.min(axis=0) + row
-    labels = [int(best.argmin())]
-    for onward in reversed(back):
-        labels.append(int(onward[labels[-1]]))
-    return float(best.min()), np.array(labels[::-1])
+def _paths(costs: np.ndarray, move: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least costs (graph, instance) of all chains (graph, instance, time, label), and their first labels; a chain ends
+    where its times are no more ``there``."""
+    best, back, k = costs[:, :, 0], [], len(move)
+    for t in range(1, costs.shape[2]):
+        step, on = best[..., None] + move, there[:, None, t, None]
+        back.append(np.where(on, step.argmin(axis=2), np.arange(k)))
+        best = np.where(on, step.min(axis=2) + costs[:, :, t], best)
+    labels = np.empty(costs.shape[:3], int)
+    labels[:, :, -1] = best.argmin(axis=2)
+    for t in range(len(back) - 1, -1, -1):
+        labels[:, :, t] = np.take_along_axis(back[t], labels[:, :, t + 1, None], 2)[..., 0]
+    return best.min(axis=2), labels
 
 
 def _step(step: float, best: float, dual: float, bound: float, square: float) -> tuple[float, float]:
@@ -81,25 +85,60 @@ def _step(step: float, best: float, dual: float, bound: float, square: float) ->
     return step, step * (best - dual + GAP) / square if square else 0.0
 
 
-def solved(costs: np.ndarray, start: np.ndarray, move: np.ndarray, clash: np.ndarray, rounds: int) -> tuple[np.ndarray, float, float]:
-    """(labels, energy, bound) of one graph that a task holds; ``start`` are labels to be improved on."""
-    instances, times, k = costs.shape
-    given = np.zeros((len(_pairs(instances)), 2, times, k))
-    found, best, bound, step = start, _energy(costs, start, move, clash), -np.inf, 1.0
+def solved(costs: list[np.ndarray], start: list[np.ndarray], move: np.ndarray, clash: np.ndarray, rounds: int) -> list[tuple[np.ndarray, float, float]]:
+    """(labels, energy, bound) of every graph (instance, time, label) that a task holds; ``start`` are labels to be improved on.
+
+    Graphs of about equal length take their rounds together, time by time, until each is done.
+    """
+    out: list = [None] * len(costs)
+    waiting = sorted(range(len(costs)), key=lambda g: -costs[g].shape[1])
+    while waiting:
+        some = waiting[: max(1, TOGETHER // costs[waiting[0]].shape[1])]
+        waiting = waiting[len(some) :]
+        for g, found in zip(some, _together([costs[g] for g in some], [start[g] for g in some], move, clash, rounds), strict=True):
+            out[g] = found
+    return out
+
+
+def _together(costs: list[np.ndarray], start: list[np.ndarray], move: np.ndarray, clash: np.ndarray, rounds: int) -> list[tuple[np.ndarray, float, float]]:
+    (n, _, k), sizes = costs[0].shape, np.array([c.shape[1] for c in costs])
+    pairs, eye = _pairs(n), np.eye(k)
+    own = np.zeros((len(costs), n, sizes.max(), k))
+    for g, c in enumerate(costs):
+        own[g, :, : c.shape[1]] = c
+    at, there = np.arange(len(costs)), np.arange(sizes.max()) < sizes[:, None]
+    given = np.zeros((len(costs), len(pairs), 2, sizes.max(), k))
+    found, bound = list(start), np.full(len(costs), -np.inf)
+    best, step = np.array([_energy(c, s, move, clash) for c, s in zip(costs, start, strict=True)]), np.ones(len(costs))
     for _ in range(rounds):
-        chains = [_path(c, move) for c in _moved(costs, given)]
-        labels = np.stack([c[1] for c in chains])
-        least, ends = _edges(given, clash)
-        dual, energy = sum(c[0] for c in chains) + least, _energy(costs, labels, move, clash)
-        if energy < best:
-            found, best = labels, energy
-        slopes = _slopes(labels, ends, k)
-        step, far = _step(step, best, dual, bound, float((slopes**2).sum()))
-        bound = max(bound, dual)
-        if best - bound <= GAP or not far:
+        moved, both = own.copy(), there[:, 1:] & there[:, :-1]
+        for p, ends in enumerate(pairs):
+            for side, i in enumerate(ends):
+                moved[:, i] += given[:, p, side]
+        least, labels = _paths(moved, move, there)
+        left = (clash - given[:, :, 0, :, :, None] - given[:, :, 1, :, None, :]).reshape(*given.shape[:2], given.shape[3], k * k)
+        pick = left.argmin(axis=3)
+        dual = least.sum(axis=1) + (left.min(axis=3) * there[:, None]).sum(axis=(1, 2))
+        energy = (np.take_along_axis(own, labels[..., None], 3)[..., 0] * there[:, None]).sum(axis=(1, 2))
+        energy = energy + (move[labels[:, :, :-1], labels[:, :, 1:]] * both[:, None]).sum(axis=(1, 2))
+        for i, j in pairs:
+            energy = energy + (clash[labels[:, i], labels[:, j]] * there).sum(axis=1)
+        for g in np.flatnonzero(energy < best[at]):
+            found[at[g]], best[at[g]] = labels[g, :, : sizes[at[g]]], energy[g]
+        slopes = np.zeros_like(given)
+        for p, ends in enumerate(pairs):
+            for side, (i, mine) in enumerate(zip(ends, (pick[:, p] // k, pick[:, p] % k), strict=True)):
+                slopes[:, p, side] = (eye[labels[:, i]] - eye[mine]) * there[..., None]
+        square, far = (slopes**2).sum(axis=(1, 2, 3, 4)), np.zeros(len(at))
+        for g, a in enumerate(at):
+            step[a], far[g] = _step(step[a], best[a], dual[g], bound[a], square[g])
+        bound[at] = np.maximum(bound[at], dual)
+        on = (best[at] - bound[at] > GAP) & (far != 0)
+        if not on.any():
             break
-        given = given + far * slopes
-    return found, best, bound
+        given = given[on] + far[on, None, None, None, None] * slopes[on]
+        at, own, there = at[on], own[on], there[on]
+    return [(found[g], float(best[g]), float(bound[g])) for g in range(len(costs))]
 
 
 def _shaped(row: dict, instances: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,12 +173,9 @@ def joint(instances: list[DataFrame], moves: list[list[float]], clash: list[list
 
     @F.pandas_udf("labels array<int>, energy double, bound double")
     def whole(costs: pd.Series, start: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, s in zip(costs, start, strict=True):
-            table = np.asarray(c, float).reshape(-1, n, k).transpose(1, 0, 2)
-            labels, energy, bound = solved(table, np.asarray(s, int).reshape(-1, n).T, move, against, rounds)
-            out.append((labels.T.ravel().tolist(), energy, bound))
-        return pd.DataFrame(out, columns=["labels", "energy", "bound"])
+        tables = [np.asarray(c, float).reshape(-1, n, k).transpose(1, 0, 2) for c in costs]
+        found = solved(tables, [np.asarray(s, int).reshape(-1, n).T for s in start], move, against, rounds)
+        return pd.DataFrame([(labels.T.ravel().tolist(), energy, bound) for labels, energy, bound in found], columns=["labels", "energy", "bound"])
 
     def spread(frame: DataFrame) -> DataFrame:
         """(key, t, labels, energy, bound) of blocks whose labels stand time by time."""

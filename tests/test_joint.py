@@ -69,3 +69,17 @@ def test_blocks_equal_whole(spark):
     for key, pair in one.items():
         assert np.allclose(pair, two[key], atol=1e-9) and pair[1] <= pair[0] + 1e-9
         assert abs(pair[0] - cost(tables, key, whole[key])) < 1e-9
+
+
+def test_graphs_solved_together_equal_those_solved_alone(monkeypatch):
+    """Chains of any lengths go through each time at once, so steps follow the times and not the graphs."""
+    rng = np.random.default_rng(5)
+    costs = [np.round(rng.random((2, t, 3)) * 2, 3) for t in (1, 9, 4, 9, 30, 2) * 20]
+    start = [c.argmin(axis=2) for c in costs]
+    alone = [joint.solved([c], [s], np.array(MOVES), np.array(CLASH), 30)[0] for c, s in zip(costs, start, strict=True)]
+    calls, paths = [], joint._paths
+    monkeypatch.setattr(joint, "_paths", lambda *given: calls.append(1) or paths(*given))
+    both = joint.solved(costs, start, np.array(MOVES), np.array(CLASH), 30)
+    assert len(calls) <= 30
+    for (one, energy, bound), (two, same, low) in zip(alone, both, strict=True):
+        assert one.shape == two.shape and abs(energy - same) < 1e-9 and abs(bound - low) < 1e-6
